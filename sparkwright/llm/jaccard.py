@@ -248,7 +248,7 @@ def tree_pairs(mixed: DataFrame, per_cent: int) -> DataFrame:
 
     def solve(t: pa.Table):
         u, chunk, ids, sizes, place, label = (t.column(k).to_numpy() for k in (1, 3, 4, 5, 6, 7))
-        bits = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint8).reshape(len(ids), -1)
+        bits = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint8).reshape(len(ids), BITS // 8)
         left = int((chunk == u).sum())
         v = int(t.column(2)[0].as_py())
         parts = [slice(0, left)] if u[0] == v else [slice(0, left), slice(left, None)]
@@ -262,6 +262,24 @@ def tree_pairs(mixed: DataFrame, per_cent: int) -> DataFrame:
         keep = np.minimum(sizes[i] - place[i], sizes[j] - place[j]) >= need
         return np.sort(np.stack([ids[i[keep]], ids[j[keep]]], 1), axis=1)
 
+    def short(t: pa.Table, cell: np.ndarray) -> np.ndarray:
+        """Pairs of all lists of at most LEAF members at once: such a tree is one leaf."""
+        ids, sizes, place, label = (t.column(k).to_numpy() for k in (4, 5, 6, 7))
+        bits = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
+        spare, out = sizes - np.bitwise_count(bits).sum(1).astype(np.int64), [np.zeros((0, 2), np.int64)]
+        for d in range(1, min(LEAF, len(ids))):
+            i = np.flatnonzero((cell[d:] == cell[:-d]).all(1))
+            if not len(i):
+                break
+            j = i + d
+            need = -(-per_cent * (sizes[i] + sizes[j]) // (100 + per_cent))
+            keep = (label[i] != label[j]) & (np.minimum(sizes[i] - place[i], sizes[j] - place[j]) >= need)
+            i, j, need = i[keep], j[keep], need[keep]
+            common = np.bitwise_count(bits[i] & bits[j]).sum(1).astype(np.int64)
+            keep = np.minimum(np.minimum(sizes[i], sizes[j]), common + np.minimum(spare[i], spare[j])) >= need
+            out.append(np.sort(np.stack([ids[i[keep]], ids[j[keep]]], 1), axis=1))
+        return np.concatenate(out)
+
     def run(batches):
         held, seen = None, []
         for b in batches:
@@ -269,9 +287,12 @@ def tree_pairs(mixed: DataFrame, per_cent: int) -> DataFrame:
             held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
             cell = np.stack([held.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
             cuts = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
-            for s, e in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
-                seen.append(solve(held.slice(s, e - s)))
             if len(cuts):
+                starts, sizes = np.concatenate([[0], cuts[:-1]]), np.diff(cuts, prepend=0)
+                for s, e in zip(starts[sizes > LEAF], cuts[sizes > LEAF], strict=True):
+                    seen.append(solve(held.slice(s, e - s)))
+                few = np.repeat(sizes <= LEAF, sizes)
+                seen.append(short(held.slice(0, int(cuts[-1])).filter(pa.array(few)), cell[: cuts[-1]][few]))
                 held = held.slice(int(cuts[-1]))
             if sum(map(len, seen)) > 100_000:
                 yield from emit(seen)
@@ -364,7 +385,8 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS words FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS words FROM documents
 ), s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
     ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS grams FROM w
