@@ -31,6 +31,7 @@ from .common import slices, table, written
 WORDS, PER_CENT = 4, 85
 FREQUENT, FREQUENT_MOST = 20, 500_000  # documents with a frequent shingle at least; frequent shingles that are told apart
 BITS, LEAF, FAN, LIST = 512, 16, 4, 4096
+WIDE = 4  # bits a shingle of the second bitmap
 BROADCAST_ROWS, CENTRES = 1_000_000, 2
 
 
@@ -68,6 +69,24 @@ def bitmap(sets: np.ndarray) -> bytes:
     return np.packbits(out).tobytes()
 
 
+def wide_bitmap(sets: np.ndarray) -> bytes:
+    """A bitmap of ``WIDE`` bits a shingle at least; its size is a power of two, so halves can be folded onto each other."""
+    size = max(64, 1 << int(WIDE * len(sets) - 1).bit_length())
+    out = np.zeros(size, bool)
+    out[((sets >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def wide_overlap(n: int, x: bytes, m: int, y: bytes) -> int:
+    """An upper bound of the overlap of two sets from their second bitmaps."""
+    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(u) > len(v):
+        n, u, m, v = m, v, n, u
+    v = np.bitwise_or.reduce(v.reshape(-1, len(u)), axis=0)
+    a, b, c = (int(np.bitwise_count(z).sum()) for z in (u, v, u & v))
+    return min(n, m, c + min(n - a, m - b))
+
+
 def class_id(sets: np.ndarray) -> bytes:
     return hashlib.blake2b(sets.tobytes(), digest_size=16).digest()
 
@@ -90,7 +109,7 @@ def frequent_shingles(src: DataFrame, least: int = FREQUENT, most: int = FREQUEN
 
 
 def document_rows(src: DataFrame, frequent: np.ndarray, per_cent: int) -> DataFrame:
-    """(doc_id, class, n, keys, bits) of every document."""
+    """(doc_id, class, n, keys, bits, wide) of every document."""
     def run(batches):
         for batch in batches:
             for b in slices(batch, "text"):
@@ -100,10 +119,10 @@ def document_rows(src: DataFrame, frequent: np.ndarray, per_cent: int) -> DataFr
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.record_batch([
                     b.column(0), pa.array([class_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([bitmap(s) for s in sets], pa.binary()),
-                ], ["doc_id", "class", "n", "keys", "bits"])
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([wide_bitmap(s) for s in sets], pa.binary()),
+                ], ["doc_id", "class", "n", "keys", "bits", "wide"])
 
-    return src.mapInArrow(run, "doc_id long, class binary, n long, keys array<long>, bits binary")
+    return src.mapInArrow(run, "doc_id long, class binary, n long, keys array<long>, bits binary, wide binary")
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
@@ -121,7 +140,7 @@ def fits(n: Column, m: Column, per_cent: int) -> Column:
 
 def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int) -> DataFrame:
     """The pairs (a, b) of class ids that link, by comparing whole sets, which are made again from the texts."""
-    pairs = written(pairs, "pairs")
+    pairs = written(with_wide_bits(pairs, classes, per_cent), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "rep", "class"), "id").select("id", F.col("rep").alias("doc_id"), "class")
     wanted = written(wanted, "wanted")
     small = wanted.count() <= BROADCAST_ROWS
@@ -153,8 +172,15 @@ def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int
     return written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
 
 
+def _sides(pairs: DataFrame, classes: DataFrame, bits: str, per_cent: int) -> DataFrame:
+    """Pairs (a, b) with sizes and bitmaps (n, m, x, y) of both, where the sizes fit."""
+    side = lambda k, n, x: classes.select(F.col("id").alias(k), F.col("n").alias(n), F.col(bits).alias(x))
+    both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").where(fits(F.col("n"), F.col("m"), per_cent))
+    return both.select("a", "b", "n", "m", "x", "y")
+
+
 def with_bits(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, whose bitmaps allow enough overlap."""
+    """Distinct pairs (a, b), a < b, whose first bitmaps allow enough overlap."""
     def run(batches):
         for b in batches:
             if b.num_rows:
@@ -162,9 +188,18 @@ def with_bits(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (b.column(4), b.column(5)))
                 yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((100 + per_cent) * most_overlap(n, x, m, y) >= per_cent * (n + m)))
 
-    side = lambda k, n, x: classes.select(F.col("id").alias(k), F.col("n").alias(n), F.col("bits").alias(x))
-    full = pairs.distinct().join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").where(fits(F.col("n"), F.col("m"), per_cent))
-    return full.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    return _sides(pairs.distinct(), classes, "bits", per_cent).mapInArrow(run, "a long, b long")
+
+
+def with_wide_bits(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
+    """The pairs whose second bitmaps allow enough overlap too. They take a sixteenth of what whole sets would."""
+    def run(batches):
+        for b in batches:
+            rows = zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            keep = [(100 + per_cent) * wide_overlap(n, x, m, y) >= per_cent * (n + m) for n, m, x, y in rows]
+            yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _sides(pairs, classes, "wide", per_cent).mapInArrow(run, "a long, b long")
 
 
 def _ones(x: np.ndarray) -> np.ndarray:
@@ -339,14 +374,14 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, class, component_id): the component of each document among all links."""
     src = _source(docs, id_col, text_col)
     rows = written(document_rows(src, frequent_shingles(src), per_cent), "documents")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     shared = written(shared_keys(classes), "shared")
     links, labels = None, None
     open_lists, tested = shared, None
     for centre in ("low", "high")[:CENTRES]:
         pairs = open_lists.select(F.least("id", centre).alias("a"), F.greatest("id", centre).alias("b")).where("a != b")
-        pairs = with_bits(pairs, classes, per_cent)
+        pairs = with_bits(pairs, classes.select("id", "n", "bits"), per_cent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "candidates")
