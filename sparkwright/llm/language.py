@@ -128,7 +128,10 @@ def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: st
     if not rows:
         return None
     lang = np.array([r[0] for r in rows] * 2, object)
-    x = np.frombuffer(b"".join([r[1] for r in rows] + [r[2] for r in rows]), np.float16).reshape(len(lang), SIZE).astype(np.float32)
+    x = np.empty((len(lang), SIZE), np.float16)
+    for k, r in enumerate(rows):
+        x[k], x[k + len(rows)] = np.frombuffer(r[1], np.float16), np.frombuffer(r[2], np.float16)
+    del rows
     langs = sorted(set(lang))
     family = np.array([FAMILY_OF.get(k, k) for k in lang], object)
     families = sorted(set(family))
@@ -137,9 +140,9 @@ def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: st
     for classes, of in [(families, family), *[(members[f], lang) for f in families]]:
         for i, a in enumerate(classes):
             for b in classes[i + 1 :]:
-                held = (of == a) | (of == b)
+                held = np.flatnonzero((of == a) | (of == b))
                 pairs.append((a, b))
-                weights.append(svm(x[held], np.where(of[held] == a, 1, -1)))
+                weights.append(svm(x, np.where(of[held] == a, 1, -1), rows=held))
     return Model(families, members, pairs, np.array(weights, np.float32).reshape(len(pairs), SIZE + 1))
 
 

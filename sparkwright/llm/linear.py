@@ -5,24 +5,29 @@ from __future__ import annotations
 import numpy as np
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 12, seed: int = 0) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 12, seed: int = 0, rows: np.ndarray | None = None) -> np.ndarray:
     """Weights (the last one is the bias) of a linear support vector machine, by dual coordinate descent.
 
-    ``y`` holds -1 and 1; classes are weighted by their share.
+    ``y`` holds -1 and 1; classes are weighted by their share. ``rows`` are the rows of ``x`` that ``y`` is about (all if
+    None); they are read one by one, so ``x`` may be half precision and is never copied.
     """
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
-    w, alpha = np.zeros(x.shape[1], np.float32), np.zeros(len(x))
-    norm = np.einsum("ij,ij->i", x, x) + 1e-12
+    rows = np.arange(len(y)) if rows is None else rows
+    of = lambda i: x[rows[i]].astype(np.float32)
+    w, bias, alpha = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(y))
+    norm = np.array([float(v @ v) for v in map(of, range(len(y)))]) + 1 + 1e-12
     share = {s: len(y) / (2 * max(1, (y == s).sum())) for s in (-1, 1)}
     most = np.array([c * share[int(s)] for s in y])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            a = min(max(alpha[i] - (y[i] * float(x[i] @ w) - 1) / norm[i], 0.0), most[i])
+        for i in rng.permutation(len(y)):
+            v = of(i)
+            a = min(max(alpha[i] - (y[i] * (float(v @ w) + bias) - 1) / norm[i], 0.0), most[i])
             if a != alpha[i]:
-                w += np.float32((a - alpha[i]) * y[i]) * x[i]
+                step = (a - alpha[i]) * y[i]
+                w += np.float32(step) * v
+                bias += step
                 alpha[i] = a
-    return w
+    return np.append(w, np.float32(bias))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
