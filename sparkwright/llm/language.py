@@ -7,7 +7,7 @@ hash of the row. Predictions read whole texts and nothing but the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when no
 labelled row exists. Repeated rows repeat; extra columns are kept by the filter and ignored otherwise; an empty
-table gives no rows. Memory is bounded by a slice of 8 MB (or one longer row) and 1,000 feature vectors.
+table gives no rows. Memory is bounded by a slice of 8 MB (or one longer row) and 1,000 feature vectors; the fit's by the features of its sample.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import residue, salted_hash, slices, table, text_bytes
-from .linear import svm
+from .linear import sparse_svm
 
 SIZE, ROWS, SAMPLE, WINDOW = 4096, 1000, 4000, 90
+SENT = ["lang", "whole_places", "whole_values", "part_places", "part_values"]
 UNDETERMINED, LEAST_SCORE = "und", 0.2
 #: Families of languages by ISO 639-1 code; a code that is not here is a family of its own.
 FAMILIES = {
@@ -64,6 +65,12 @@ def vectors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def packed(x: np.ndarray) -> tuple[bytes, bytes]:
+    """Places and half-precision values of a vector's features: an eighth of its cells or so."""
+    places = np.flatnonzero(x)
+    return places.astype(np.uint16).tobytes(), x[places].astype(np.float16).tobytes()
+
+
 @dataclass
 class Model:
     """Families, their languages, and the machines of both levels as one matrix."""
@@ -122,16 +129,17 @@ def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: st
                     middle = np.maximum(at[:-1], (at[:-1] + at[1:] - WINDOW) // 2)
                     cut = [data[a : min(a + WINDOW, e)] for a, e in zip(middle, at[1:], strict=True)]
                     short = vectors(np.concatenate(cut) if cut else data[:0], np.cumsum([0, *map(len, cut)]))
-                    yield pa.record_batch([b.column(1), *[pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()) for x in (vectors(data, at), short)]], ["lang", "whole", "part"])
+                    yield pa.record_batch([b.column(1), *[pa.array(c, pa.binary()) for x in (vectors(data, at), short) for c in zip(*map(packed, x), strict=True)]], SENT)
 
-    rows = sorted(map(tuple, sample.mapInArrow(run, "lang string, whole binary, part binary").collect()))
-    if not rows:
+    sent = sample.mapInArrow(run, "lang string, " + ", ".join(f"{k} binary" for k in SENT[1:])).toArrow()
+    if not sent.num_rows:
         return None
-    lang = np.array([r[0] for r in rows] * 2, object)
-    x = np.empty((len(lang), SIZE), np.float16)
-    for k, r in enumerate(rows):
-        x[k], x[k + len(rows)] = np.frombuffer(r[1], np.float16), np.frombuffer(r[2], np.float16)
-    del rows
+    sent = sent.sort_by([(k, "ascending") for k in SENT])  # the fit does not depend on partitions
+    lang = np.array(sent.column(0).to_pylist() * 2, object)
+    places, values = ([np.frombuffer(r.as_py(), t) for k in ks for r in sent.column(k)] for ks, t in (((1, 3), np.uint16), ((2, 4), np.float16)))
+    del sent
+    at = np.cumsum([0, *map(len, places)])
+    places, values = np.concatenate(places), np.concatenate(values)
     langs = sorted(set(lang))
     family = np.array([FAMILY_OF.get(k, k) for k in lang], object)
     families = sorted(set(family))
@@ -142,7 +150,7 @@ def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: st
             for b in classes[i + 1 :]:
                 held = np.flatnonzero((of == a) | (of == b))
                 pairs.append((a, b))
-                weights.append(svm(x, np.where(of[held] == a, 1, -1), rows=held))
+                weights.append(sparse_svm(at, places, values, SIZE, held, np.where(of[held] == a, 1, -1)))
     return Model(families, members, pairs, np.array(weights, np.float32).reshape(len(pairs), SIZE + 1))
 
 

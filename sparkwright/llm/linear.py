@@ -5,31 +5,38 @@ from __future__ import annotations
 import numpy as np
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 12, seed: int = 0, rows: np.ndarray | None = None) -> np.ndarray:
+def sparse_svm(at: np.ndarray, places: np.ndarray, values: np.ndarray, size: int, rows: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 12, seed: int = 0) -> np.ndarray:
     """Weights (the last one is the bias) of a linear support vector machine, by dual coordinate descent.
 
-    ``y`` holds -1 and 1; classes are weighted by their share. ``rows`` are the rows of ``x`` that ``y`` is about (all if
-    None); they are read one by one, so ``x`` may be half precision and is never copied.
+    Vector ``i`` has ``values[at[i]:at[i + 1]]`` at the distinct ``places[at[i]:at[i + 1]]`` and 0 elsewhere. ``y`` holds
+    -1 and 1 for the vectors ``rows``; classes are weighted by their share.
     """
-    rows = np.arange(len(y)) if rows is None else rows
-    of = lambda i: x[rows[i]].astype(np.float32)
-    w, bias, alpha = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(len(y))
-    norm = np.array([float(v @ v) for v in map(of, range(len(y)))]) + 1 + 1e-12
+    spans = list(zip(at[rows].tolist(), at[rows + 1].tolist(), strict=True))
+    w, bias, alpha = np.zeros(size, np.float32), 0.0, np.zeros(len(y))
+    norm = np.array([float(np.square(values[s:e], dtype=np.float32).sum()) for s, e in spans]) + 1 + 1e-12
     share = {s: len(y) / (2 * max(1, (y == s).sum())) for s in (-1, 1)}
     most = np.array([c * share[int(s)] for s in y])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            v = of(i)
-            a = min(max(alpha[i] - (y[i] * (float(v @ w) + bias) - 1) / norm[i], 0.0), most[i])
+            s, e = spans[i]
+            p, v = places[s:e], values[s:e].astype(np.float32)
+            a = min(max(alpha[i] - (y[i] * (float(v @ w[p]) + bias) - 1) / norm[i], 0.0), most[i])
             if a != alpha[i]:
                 step = (a - alpha[i]) * y[i]
-                w += np.float32(step) * v
+                w[p] += np.float32(step) * v
                 bias += step
                 alpha[i] = a
     return np.append(w, np.float32(bias))
 
 
+def svm(x: np.ndarray, y: np.ndarray, **how) -> np.ndarray:
+    """The same for the rows of a matrix."""
+    row, place = np.nonzero(x)
+    at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(x)))])
+    return sparse_svm(at, place, x[row, place], x.shape[1], np.arange(len(x)), y, **how)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Weights (the last one is the bias) of a ridge logistic regression, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
