@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import discard, freed_shuffles, slices, table, written
 
 WORDS, PER_CENT = 4, 85
 FREQUENT, FREQUENT_MOST = 20, 500_000  # documents with a frequent shingle at least; frequent shingles that are told apart
@@ -105,7 +105,9 @@ def frequent_shingles(src: DataFrame, least: int = FREQUENT, most: int = FREQUEN
                 yield pa.record_batch([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
 
     counted = src.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return np.sort(counted.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+    with freed_shuffles(src.sparkSession):
+        found = counted.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
+    return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def document_rows(src: DataFrame, frequent: np.ndarray, per_cent: int) -> DataFrame:
@@ -153,7 +155,8 @@ def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int
                 same = [class_id(s) == c for s, c in zip(sets, b.column(1).to_pylist(), strict=True)]  # an id may stand for several texts
                 yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"]).filter(pa.array(same, pa.bool_()))
 
-    sets = written(texts.mapInArrow(sets_of, "id long, set binary"), "sets").groupBy("id").agg(F.any_value("set").alias("set"))
+    made = written(texts.mapInArrow(sets_of, "id long, set binary"), "sets")
+    sets = made.groupBy("id").agg(F.any_value("set").alias("set"))
 
     def compare(batches):
         for batch in batches:
@@ -169,7 +172,9 @@ def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int
                 yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    links = written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    discard(pairs, wanted, made)
+    return links
 
 
 def _sides(pairs: DataFrame, classes: DataFrame, bits: str, per_cent: int) -> DataFrame:
@@ -357,8 +362,9 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("w").alias("m"))
         small = large.join(low, "v")
         small = small.select(F.col("w").alias("v"), F.col("m").alias("w")).union(low.select("v", "m")).where("v != w").distinct()
-        edges = written(small, "edges")
+        former, edges = edges, written(small, "edges")
         after = digest(edges)
+        discard(former)
         if after == before:
             break
         before = after
@@ -391,11 +397,14 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(links)
         by_key = labelled(shared, labels)
         mixed = by_key.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p != q").select("key")
-        open_lists = written(by_key.join(mixed, "key", "left_semi"), "mixed")
+        former, open_lists = open_lists, written(by_key.join(mixed, "key", "left_semi"), "mixed")
+        if former is not shared:
+            discard(former)
     full = open_lists.join(classes.select("id", "bits"), "id")
     pairs = tree_pairs(full, per_cent).distinct().join(tested, ["a", "b"], "left_anti")
     links = links.union(verified(pairs, classes, src, per_cent))
     done = labelled(classes.select("id", "class", "rep"), components(links))
+    discard(shared, open_lists, tested, links)
     low = done.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = done.join(low, "label").select("class", "component_id")
     joined = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class")).join(of_class, "class", "left")
