@@ -13,8 +13,8 @@
 5. Components come from alternating large-star and small-star steps.
 
 Defined results: a null or empty text, or one without words, has an empty set and is a component of its own; a text
-of fewer words than a shingle has one shingle of all its words; equal ids are one document to the component; repeated
-rows repeat; extra columns are ignored (kept by the filter); an empty table gives no rows.
+of fewer words than a shingle has one shingle of all its words; equal ids are one document to the component; a row without
+an id links others as any row does, and its component is the least id found, if any; repeated rows repeat; extra columns are ignored (kept by the filter); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -92,7 +92,9 @@ def class_id(sets: np.ndarray) -> bytes:
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, text, at): ``at`` is where a text is found again, its id or, without one, a hash of the text."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.xxhash64(text)).alias("at"))
 
 
 def frequent_shingles(src: DataFrame, least: int = FREQUENT, most: int = FREQUENT_MOST) -> np.ndarray:
@@ -111,7 +113,7 @@ def frequent_shingles(src: DataFrame, least: int = FREQUENT, most: int = FREQUEN
 
 
 def document_rows(src: DataFrame, frequent: np.ndarray, per_cent: int) -> DataFrame:
-    """(doc_id, class, n, keys, bits, wide) of every document."""
+    """(doc_id, at, class, n, keys, bits, wide) of every document."""
     def run(batches):
         for batch in batches:
             for b in slices(batch, "text"):
@@ -120,11 +122,11 @@ def document_rows(src: DataFrame, frequent: np.ndarray, per_cent: int) -> DataFr
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.record_batch([
-                    b.column(0), pa.array([class_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                    b.column(0), b.column(2), pa.array([class_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([wide_bitmap(s) for s in sets], pa.binary()),
-                ], ["doc_id", "class", "n", "keys", "bits", "wide"])
+                ], ["doc_id", "at", "class", "n", "keys", "bits", "wide"])
 
-    return src.mapInArrow(run, "doc_id long, class binary, n long, keys array<long>, bits binary, wide binary")
+    return src.mapInArrow(run, "doc_id long, at long, class binary, n long, keys array<long>, bits binary, wide binary")
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
@@ -143,10 +145,10 @@ def fits(n: Column, m: Column, per_cent: int) -> Column:
 def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int) -> DataFrame:
     """The pairs (a, b) of class ids that link, by comparing whole sets, which are made again from the texts."""
     pairs = written(with_wide_bits(pairs, classes, per_cent), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "rep", "class"), "id").select("id", F.col("rep").alias("doc_id"), "class")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "at", "class"), "id")
     wanted = written(wanted, "wanted")
     small = wanted.count() <= BROADCAST_ROWS
-    texts = src.join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "doc_id").select("id", "class", "text")
+    texts = src.select("at", "text").join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "at").select("id", "class", "text")
 
     def sets_of(batches):
         for batch in batches:
@@ -380,7 +382,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, class, component_id): the component of each document among all links."""
     src = _source(docs, id_col, text_col)
     rows = written(document_rows(src, frequent_shingles(src), per_cent), "documents")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide"))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     shared = written(shared_keys(classes), "shared")
     links, labels = None, None

@@ -208,6 +208,9 @@ def test_jaccard_against_all_pairs(spark):
                 w[r.randrange(len(w))] = r.choice(words)
             rows.append((len(rows), " ".join(w)))
     rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "A b"), (1004, "a B"), (1004, "a b"), (None, "a b c d e")]
+    chain = [f"c{k}" for k in range(60)]  # the row in the middle, which has no id, links the other two
+    rows += [(1010, " ".join(chain[:56])), (None, " ".join(chain[2:58])), (1011, " ".join(chain[4:]))]
+    rows += [(None, "a b c d e f"), (None, "a b c d e f")]
     sets, root = [set(jaccard.shingles(t).tolist()) for _, t in rows], list(range(len(rows)))
 
     def find(x):
