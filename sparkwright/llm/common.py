@@ -68,6 +68,30 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+HOT_ROWS, HOT_KEYS = 256, 100_000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """(key, parts) of the keys with more than ``HOT_ROWS`` rows and more than a ``HOT_KEYS``-th of all; None without any.
+
+    So they are fewer than ``HOT_KEYS``, which bounds their broadcast, and their parts fewer than twice that. ``rows`` is a written table.
+    """
+    least = max(HOT_ROWS, -(-rows.count() // HOT_KEYS))
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__rows")).where(F.col("__rows") > least)
+    hot = written(counted.select(key, F.ceil(F.col("__rows") / least).cast("int").alias("__parts")), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def dealt_join(rows: DataFrame, other: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``other`` on ``key``; rows of a hot key are dealt to its parts by a hash of ``by``, and ``other`` is repeated in each part."""
+    if hot is None:
+        return rows.join(other, key, how)
+    parts = F.coalesce("__parts", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
+    right = other.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [key, "__part"], how).drop("__part")
+
+
 def residue(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, freed_shuffles, slices, table, written
+from .common import HOT_ROWS, dealt_join, discard, freed_shuffles, hot_keys, slices, table, written
 
 WORDS, PER_CENT = 4, 85
 FREQUENT, FREQUENT_MOST = 20, 500_000  # documents with a frequent shingle at least; frequent shingles that are told apart
@@ -53,14 +53,14 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(s ^ (s >> np.uint64(29)))
 
 
-def prefix(sets: np.ndarray, frequent: np.ndarray, per_cent: int = PER_CENT) -> np.ndarray:
-    """The first shingles of a set in the global order, so many that a link cannot miss them."""
-    n = len(sets)
+def prefix(sets: np.ndarray, frequent: np.ndarray, per_cent: int = PER_CENT) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the global order, so many that a link cannot miss them, and how many of them are rare."""
+    n = rare = len(sets)
     most = n - -(-per_cent * n // 100) + 1 if n else 0
     if len(frequent) and n:
         common = frequent[np.minimum(np.searchsorted(frequent, sets), len(frequent) - 1)] == sets
-        sets = np.concatenate([sets[~common], sets[common]])
-    return sets[:most]
+        sets, rare = np.concatenate([sets[~common], sets[common]]), n - int(common.sum())
+    return sets[:most], min(rare, most)
 
 
 def bitmap(sets: np.ndarray) -> bytes:
@@ -113,28 +113,35 @@ def frequent_shingles(src: DataFrame, least: int = FREQUENT, most: int = FREQUEN
 
 
 def document_rows(src: DataFrame, frequent: np.ndarray, per_cent: int) -> DataFrame:
-    """(doc_id, at, class, n, keys, bits, wide) of every document."""
+    """(doc_id, at, class, n, keys, rare, bits, wide) of every document."""
     def run(batches):
         for batch in batches:
             for b in slices(batch, "text"):
                 sets = [shingles(t) for t in b.column(1).to_pylist()]
-                keys = [prefix(s, frequent, per_cent) for s in sets]
-                flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+                keys, rare = zip(*(prefix(s, frequent, per_cent) for s in sets), strict=True)
+                flat = np.concatenate(keys).view(np.int64)
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.record_batch([
                     b.column(0), b.column(2), pa.array([class_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([wide_bitmap(s) for s in sets], pa.binary()),
-                ], ["doc_id", "at", "class", "n", "keys", "bits", "wide"])
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(rare, pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([wide_bitmap(s) for s in sets], pa.binary()),
+                ], ["doc_id", "at", "class", "n", "keys", "rare", "bits", "wide"])
 
-    return src.mapInArrow(run, "doc_id long, at long, class binary, n long, keys array<long>, bits binary, wide binary")
+    return src.mapInArrow(run, "doc_id long, at long, class binary, n long, keys array<long>, rare long, bits binary, wide binary")
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
-    """(key, id, n, place, size, low, high) of prefix shingles that ``size`` >= 2 classes have; their least and greatest id."""
+    """(key, id, n, place, size, low, high) of prefix shingles that ``size`` >= 2 classes have; their least and greatest id.
+
+    A frequent shingle may stand in any share of all classes, so its rows are counted with partial aggregation and stay where they are; there are
+    at most ``FREQUENT_MOST`` such shingles, which bounds the broadcast. Other shingles stand about once in each slice of the input at most.
+    """
     by_key = Window.partitionBy("key")
-    rows = classes.select("id", "n", F.posexplode("keys").alias("place", "key"))
-    counted = rows.select("key", "id", "n", F.col("place").cast("int").alias("place"), F.count("*").over(by_key).alias("size"), F.min("id").over(by_key).alias("low"), F.max("id").over(by_key).alias("high"))
-    return counted.where("size > 1")
+    rows = classes.select("id", "n", "rare", F.posexplode("keys").alias("place", "key")).withColumn("place", F.col("place").cast("int"))
+    few, many = rows.where("place < rare").drop("rare"), rows.where("place >= rare").drop("rare")
+    facts = {"size": F.count("*"), "low": F.min("id"), "high": F.max("id")}
+    few = few.select("key", "id", "n", "place", *[f.over(by_key).alias(name) for name, f in facts.items()]).where("size > 1")
+    sizes = many.groupBy("key").agg(*[f.alias(name) for name, f in facts.items()]).where("size > 1")
+    return few.unionByName(many.join(F.broadcast(sizes), "key"))
 
 
 def fits(n: Column, m: Column, per_cent: int) -> Column:
@@ -143,7 +150,7 @@ def fits(n: Column, m: Column, per_cent: int) -> Column:
 
 
 def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (a, b) of class ids that link, by comparing whole sets, which are made again from the texts."""
+    """The pairs (a, b) of class ids that link, by comparing whole sets, which are made again from the texts. ``pairs`` is a written table."""
     pairs = written(with_wide_bits(pairs, classes, per_cent), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "at", "class"), "id")
     wanted = written(wanted, "wanted")
@@ -173,21 +180,23 @@ def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int
                     keep.append(100 * common >= per_cent * (len(u) + len(v) - common))
                 yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    both = dealt_join(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a", "b", hot_keys(pairs, "a"))
+    both = dealt_join(both, sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b", "a", hot_keys(pairs, "b"))
     links = written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
     discard(pairs, wanted, made)
     return links
 
 
 def _sides(pairs: DataFrame, classes: DataFrame, bits: str, per_cent: int) -> DataFrame:
-    """Pairs (a, b) with sizes and bitmaps (n, m, x, y) of both, where the sizes fit."""
+    """Pairs (a, b) with sizes and bitmaps (n, m, x, y) of both, where the sizes fit. ``pairs`` is a written table; one class may be in most of them."""
     side = lambda k, n, x: classes.select(F.col("id").alias(k), F.col("n").alias(n), F.col(bits).alias(x))
-    both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").where(fits(F.col("n"), F.col("m"), per_cent))
+    both = dealt_join(pairs, side("a", "n", "x"), "a", "b", hot_keys(pairs, "a"))
+    both = dealt_join(both, side("b", "m", "y"), "b", "a", hot_keys(pairs, "b")).where(fits(F.col("n"), F.col("m"), per_cent))
     return both.select("a", "b", "n", "m", "x", "y")
 
 
 def with_bits(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, whose first bitmaps allow enough overlap."""
+    """The pairs (a, b), a < b, whose first bitmaps allow enough overlap."""
     def run(batches):
         for b in batches:
             if b.num_rows:
@@ -195,7 +204,7 @@ def with_bits(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in (b.column(4), b.column(5)))
                 yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((100 + per_cent) * most_overlap(n, x, m, y) >= per_cent * (n + m)))
 
-    return _sides(pairs.distinct(), classes, "bits", per_cent).mapInArrow(run, "a long, b long")
+    return _sides(pairs, classes, "bits", per_cent).mapInArrow(run, "a long, b long")
 
 
 def with_wide_bits(pairs: DataFrame, classes: DataFrame, per_cent: int) -> DataFrame:
@@ -357,16 +366,16 @@ def components(links: DataFrame) -> DataFrame:
     digest = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "w").cast("decimal(38,0)"))).first())
     before = digest(edges)
     while before[0]:
-        both = edges.select("v", "w").union(edges.select(F.col("w").alias("v"), F.col("v").alias("w")))
+        both = written(edges.select("v", "w").union(edges.select(F.col("w").alias("v"), F.col("v").alias("w"))), "both")
         least = both.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("m"))
-        large = both.join(least, "v").where(F.col("w") > F.col("v")).select(F.col("w").alias("v"), F.col("m").alias("w"))
-        large = large.where("v != w").distinct()
+        large = dealt_join(both, least, "v", "w", hot_keys(both, "v")).where(F.col("w") > F.col("v")).select(F.col("w").alias("v"), F.col("m").alias("w"))
+        large = written(large.where("v != w").distinct(), "large")
         low = large.groupBy("v").agg(F.min("w").alias("m"))
-        small = large.join(low, "v")
+        small = dealt_join(large, low, "v", "w", hot_keys(large, "v"))
         small = small.select(F.col("w").alias("v"), F.col("m").alias("w")).union(low.select("v", "m")).where("v != w").distinct()
         former, edges = edges, written(small, "edges")
         after = digest(edges)
-        discard(former)
+        discard(former, both, large)
         if after == before:
             break
         before = after
@@ -382,34 +391,40 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, class, component_id): the component of each document among all links."""
     src = _source(docs, id_col, text_col)
     rows = written(document_rows(src, frequent_shingles(src), per_cent), "documents")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide"))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("rare").alias("rare"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     shared = written(shared_keys(classes), "shared")
     links, labels = None, None
     open_lists, tested = shared, None
     for centre in ("low", "high")[:CENTRES]:
-        pairs = open_lists.select(F.least("id", centre).alias("a"), F.greatest("id", centre).alias("b")).where("a != b")
-        pairs = with_bits(pairs, classes.select("id", "n", "bits"), per_cent)
+        met = open_lists.select(F.least("id", centre).alias("a"), F.greatest("id", centre).alias("b")).where("a != b").distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "candidates")
+            met = met.join(tested, ["a", "b"], "left_anti")
+        met = written(met, "met")
+        pairs = written(with_bits(met, classes.select("id", "n", "bits"), per_cent), "candidates")
+        discard(met)
         found = verified(pairs, classes, src, per_cent)
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         labels = components(links)
         by_key = labelled(shared, labels)
-        mixed = by_key.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p != q").select("key")
-        former, open_lists = open_lists, written(by_key.join(mixed, "key", "left_semi"), "mixed")
+        # A list of many members is dealt to parts here too; "size" counts them.
+        parts = F.ceil(F.col("size") / HOT_ROWS)
+        mixed = by_key.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.any_value("size").alias("size")).where("p != q")
+        mixed = mixed.select("key", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("part"))
+        dealt = by_key.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        former, open_lists = open_lists, written(dealt.join(mixed, ["key", "part"], "left_semi").drop("part"), "mixed")
         if former is not shared:
             discard(former)
     full = open_lists.join(classes.select("id", "bits"), "id")
-    pairs = tree_pairs(full, per_cent).distinct().join(tested, ["a", "b"], "left_anti")
+    pairs = written(tree_pairs(full, per_cent).distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
     links = links.union(verified(pairs, classes, src, per_cent))
     done = labelled(classes.select("id", "class", "rep"), components(links))
-    discard(shared, open_lists, tested, links)
+    discard(shared, open_lists, tested, pairs, links)
     low = done.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = done.join(low, "label").select("class", "component_id")
-    joined = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class")).join(of_class, "class", "left")
+    joined = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    joined = dealt_join(joined, of_class, "class", "doc_id", hot_keys(rows.where("n > 0"), "class"), "left")
     return joined.select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -13,7 +13,7 @@ pytest.importorskip("sparkwright.llm")
 import public_tokenizers as P  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from sparkwright.llm import bpe, chat, jaccard, language, licenses, linear, mpegts, neighbours, packing, quality, queries, toxicity  # noqa: E402
+from sparkwright.llm import bpe, chat, common, jaccard, language, licenses, linear, mpegts, neighbours, packing, quality, queries, toxicity  # noqa: E402
 
 TABLES = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (3, " \n "), (4, "x"), (5, "Á b\x00c " * 3000), (6, "same words here now ok"), (7, "same words here now ok"), (7, "same words here now ok"), (None, "no id at all here")]
@@ -197,7 +197,22 @@ def test_segments_are_maximal():
         assert sorted(x for _, _, x in found) == pytest.approx(sorted(rest))
 
 
-def test_jaccard_against_all_pairs(spark):
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(500)] + [(None, 1), (99, 2)], "k long, v long")
+    other = spark.createDataFrame([(k, 10 * k) for k in range(7)] + [(None, 5)], "k long, w long")
+    assert common.hot_keys(rows.where("k != 1"), "k") is None and common.hot_keys(rows.where("false"), "k") is None
+    monkeypatch.setattr(common, "HOT_ROWS", 60)
+    hot = common.hot_keys(rows, "k")
+    assert {tuple(r) for r in hot.collect()} == {(1, 4)}
+    for how in ("inner", "left"):
+        got = common.dealt_join(rows, other, "k", "v", hot, how)
+        assert got.columns == ["k", "v", "w"] and sorted(map(repr, got.collect())) == sorted(map(repr, rows.join(other, "k", how).collect()))
+
+
+@pytest.mark.parametrize("hot_rows", [common.HOT_ROWS, 4])
+def test_jaccard_against_all_pairs(spark, monkeypatch, hot_rows):
+    for module in (common, jaccard):
+        monkeypatch.setattr(module, "HOT_ROWS", hot_rows)
     r = random.Random(5)
     words, rows = [f"w{k}" for k in range(400)], []
     for size in (60, 20, 3, 2, *[1] * 20):
