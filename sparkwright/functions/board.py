@@ -101,3 +101,11 @@ def material(fen: Column) -> Column:
     for c, v in zip("PNBRQ", (1, 3, 3, 5, 9), strict=True):
         total = total + v * (count(c) - count(c.lower()))
     return total
+
+
+def move_of_class(number: Column, legal: Column) -> Column:
+    """The legal move of a class: without promotion, else to a queen, knight, rook or bishop; null if there is none."""
+    square = lambda n: F.concat(F.char(97 + n % 8), F.char(49 + F.floor(n / 8)))
+    plain = F.concat(square(F.floor(number / 64)), square(number % 64))
+    forms = F.array(*[F.concat(plain, F.lit(p)) for p in ("", "q", "n", "r", "b")])
+    return F.when(number.between(0, 4095), F.get(F.filter(forms, lambda m: F.array_contains(legal, m)), F.lit(0)))

@@ -55,3 +55,25 @@ def soft_policy(q: Column, temperature: float = 0.1) -> Column:
 def points_lost(best: Column, chosen: Column) -> Column:
     """Win-percentage points that a move gives away."""
     return (best - chosen) * 50
+
+
+def log_sum_exp(logits: Column) -> Column:
+    """ln of the summed exponentials of an array; impossible entries are -Infinity."""
+    most = F.array_max(logits)
+    return most + F.ln(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - most)))
+
+
+def cross_entropy(logits: Column, target: Column) -> Column:
+    """Loss against one class, counted from 0."""
+    return log_sum_exp(logits) - F.get(logits, target.cast("int"))
+
+
+def soft_cross_entropy(logits: Column, target: Column) -> Column:
+    """Loss against shares of classes; a class without a share counts nothing, even if it is impossible."""
+    terms = F.zip_with(logits, target, lambda x, t: F.when(t > 0, t * (log_sum_exp(logits) - x)).otherwise(0.0))
+    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+
+
+def size_loss(logits: Column, weight: float = 1e-3) -> Column:
+    """The term that keeps logits from growing."""
+    return weight * F.pow(log_sum_exp(logits), 2)

@@ -130,12 +130,25 @@ def embedding_softmax(spark, d):
     return p.select("vec_id", F.round(F.array_max("p"), 7).alias("p_max"), F.array_position("v", F.array_max("v")).alias("best"), F.array_join(F.transform(top, lambda s: s["i"].cast("string")), ",").alias("top5"))
 
 
-_NAMES = "raw_rows best_positions action_values position_scores policy_targets resume_positions sample_positions clean_report position_filters move_classes position_features square_relations legal_counts drop_reasons move_metrics best_line_items embedding_softmax"
+def policy_losses(spark, d):
+    """Mean loss terms with each embedding as logits; the class and the shares wanted follow from its id."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    wanted = F.col("vec_id") % F.size("v")
+    shares = F.transform("v", lambda x, i: F.when(i == wanted, 0.75).when(i == 0, 0.25).otherwise(0.0))
+    hard, soft, size = scores.cross_entropy(F.col("v"), wanted), scores.soft_cross_entropy(F.col("v"), shares), scores.size_loss(F.col("v"))
+    mean = lambda c: F.round(F.avg(c), 6)
+    return e.agg(F.count("*").alias("n"), mean(hard).alias("hard"), mean(soft).alias("soft"), mean(size).alias("size"))
+
+
+_NAMES = "policy_losses raw_rows best_positions action_values position_scores policy_targets resume_positions sample_positions clean_report position_filters move_classes position_features square_relations legal_counts drop_reasons move_metrics best_line_items embedding_softmax"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _CLASS = lambda m: f"((ascii({m}[1]) - 97) + (ascii({m}[2]) - 49) * 8) * 64 + (ascii({m}[3]) - 97) + (ascii({m}[4]) - 49) * 8"
 _STEP = "case when x.mate is not null then case when x.mate > 0 then 0.9999 else -0.9999 end when x.cp is not null then 2 / (1 + exp(-0.00368208 * x.cp)) - 1 else 0.0 end"
 SQL = {
+    "policy_losses": """WITH x AS (SELECT vec_id, len(embedding) AS k, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+  l AS (SELECT vec_id, ln(sum(exp(v))) AS l, max(v) FILTER (i = vec_id % k) AS v, max(v) FILTER (i = 0) AS v0, any_value(vec_id % k) AS w FROM x GROUP BY vec_id)
+  SELECT count(*) AS n, round(avg(l - v), 6) AS hard, round(avg(0.75::DOUBLE * (l - v) + CASE WHEN w = 0 THEN 0 ELSE 0.25::DOUBLE * (l - v0) END), 6) AS soft, round(avg(0.001::DOUBLE * l * l), 6) AS size FROM l""",
     "raw_rows": f"WITH {RAW_SQL} SELECT * FROM raw",
     "best_positions": f"WITH {RAW_SQL}, {BEST} SELECT * FROM best",
     "action_values": f"""WITH {RAW_SQL}, {PACKED} SELECT fen, array_to_string(list_transform(items, lambda x: x.move), ',') AS moves,

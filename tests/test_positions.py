@@ -64,6 +64,21 @@ def test_move_classes(spark):
     assert got[0] == (12 * 64 + 28, 12 * 64 + 28, 52 * 64 + 36) and got[1][0] == 52 * 64 + 60 and got[2:] == [(None,) * 3] * 3
 
 
+def test_classes_become_moves(spark):
+    legal = ["e2e4", "a7a8n", "a7a8q", "b7b8r"]
+    rows = [(12 * 64 + 28, legal), (48 * 64 + 56, legal), (49 * 64 + 57, legal), (0, legal), (-1, legal), (4096, legal), (None, legal), (12 * 64 + 28, None)]
+    got = spark.createDataFrame(rows, "c int, legal array<string>").select(board.move_of_class(F.col("c"), F.col("legal"))).collect()
+    assert [r[0] for r in got] == ["e2e4", "a7a8q", "b7b8r", None, None, None, None, None]
+
+
+def test_losses(spark):
+    df = spark.createDataFrame([([0.0, 0.0, float("-inf")], [0.5, 0.5, 0.0])], "x array<double>, t array<double>")
+    x = F.col("x")
+    got = df.select(scores.log_sum_exp(x), scores.cross_entropy(x, F.lit(1)), scores.soft_cross_entropy(x, F.col("t")), scores.size_loss(x)).first()
+    ln2 = 0.6931471805599453
+    assert list(got) == pytest.approx([ln2, ln2, ln2, 1e-3 * ln2**2])
+
+
 def test_promotions_add_up(spark):
     fen = "8/P6k/8/8/8/8/8/K7 w - -"
     v = spark.createDataFrame([(fen, ["a7a8q", "a7a8r", "a1a2"], [100, 100, 100], [None] * 3)], "fen string, moves array<string>, cp array<int>, mate array<int>")
