@@ -127,10 +127,10 @@ CLAUSES = (
     ("unknown-license", "see (?:the )?licen[cs]e file"),
     ("unknown-license", "spdx license identifier"),
 )
-#: substrings of the lower-cased text; a rule is tried where the first one that its text holds is found
+#: substrings of one word each, since the words of a rule may be parted by anything; a rule is tried where the first one that its text holds is found
 KEYWORDS = (
-    "licen", "cc0", "cc", "creative", "gpl", "public domain", "rights", "permission", "redistribut", "wtfpl",
-    "confidential", "advertising", "neither", "warrant", "cecill", "rail", "data commons", "good", "perl", "mulan", "attribution", "affero", "clause", "source code",
+    "licen", "cc0", "cc", "creative", "gpl", "domain", "rights", "permission", "redistribut", "wtfpl",
+    "confidential", "advertising", "neither", "warrant", "cecill", "rail", "commons", "good", "perl", "mulan", "attribution", "affero", "clause",
 )
 #: how a rule that adds words to a name is written, its priority (less is better) and its confidence
 FORMS = (("{}", 2, 0.8), ("licensed under (?:the )?(?:terms of )?(?:the )?{}", 1, 0.95), ("spdx license identifier {}", 0, 1.0))

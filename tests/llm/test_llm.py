@@ -148,6 +148,48 @@ def test_licenses(spark, odd, none):
     assert len(licenses.rules()) > 200 and licenses.scan_licenses(odd).count() == len(ODD)
 
 
+def _spelled(parsed):
+    """A text for each way through a parsed regular expression; a repeat is made as seldom as it may be, and once."""
+    texts = [""]
+    for op, of in parsed:
+        if str(op) == "LITERAL":
+            more = [chr(of)]
+        elif str(op) == "IN":
+            more = [chr(c) for kind, x in of for c in ([x] if str(kind) == "LITERAL" else x)]
+        elif str(op) == "NOT_LITERAL":
+            more = ["x"]
+        elif str(op) == "BRANCH":
+            more = [t for x in of[1] for t in _spelled(x)]
+        elif str(op) == "SUBPATTERN":
+            more = _spelled(of[-1])
+        else:
+            assert str(op) in ("MAX_REPEAT", "MIN_REPEAT"), op
+            more = ([""] if of[0] == 0 else []) + _spelled(of[2])
+        texts = [a + b for a in texts for b in more]
+    return list(dict.fromkeys(texts))
+
+
+def test_licenses_of_parted_words(spark):
+    import re
+
+    rules = [(label, re.compile(pattern), priority) for label, _, pattern, priority, _ in licenses.rules()]
+    parts, rows, want = (" ", "\n", "  ", "-", "\r\n * ", "** __"), [], []
+    for label, pattern in (*licenses.NAMES, *licenses.CLAUSES):
+        for k, said in enumerate(_spelled(re._parser.parse(pattern))):
+            for part in parts if (label, pattern) in licenses.CLAUSES else (parts[k % len(parts)], "\n"):
+                words, until, least, labels = f" zz {said} zz ", -1, 0, []
+                found = [(words[: m.start()].count(" ") - 1, m[0].count(" ") + 1, priority, of) for of, rule, priority in rules for m in rule.finditer(words)]
+                for start, n, priority, of in sorted(found, key=lambda x: (x[0], -x[0] - x[1], x[2])):
+                    if start + n > until and (start >= until or priority < least):
+                        until, least, labels = start + n, priority, labels + [of]
+                assert labels
+                want.append(list(dict.fromkeys(labels)))
+                rows.append((len(rows), words.strip().replace(" ", part).upper() if k % 2 else words.strip().replace(" ", part)))
+    got = {r.doc_id: r.found for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(t, got[k]) for k, t in rows if got[k] != want[k]] == []
+    assert not [k for k in licenses.KEYWORDS if " " in k]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 8)).round(3)
