@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``. All but the last keep the columns of documents. Language: documents of undetermined language or with a
-score under 0.2 go. Toxicity: documents that score 0.5 or more go. Near duplicates: one document of each group stays, the one with the least id.
+score under 0.2 go. Toxicity: documents that score 0.5 or more go. Near duplicates: one row of each group stays, the one with the least id.
 Packing: pieces with their sequence and offset.
 """
 
@@ -26,7 +26,7 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: one document of each component."""
+    """Operator 10: one row of each component."""
     return jaccard.keep_one_of_each(docs)
 
 

@@ -91,10 +91,11 @@ def class_id(sets: np.ndarray) -> bytes:
     return hashlib.blake2b(sets.tobytes(), digest_size=16).digest()
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, at): ``at`` is where a text is found again, its id or, without one, a hash of the text."""
+def _source(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """(doc_id, text, at, hash): ``at`` is where a text is found again, its row's mark, its id or, without one, ``hash``, the hash of the text."""
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.xxhash64(text)).alias("at"))
+    at = F.col(row_col) if row_col else F.coalesce(doc_id, F.xxhash64(text))
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), at.alias("at"), F.xxhash64(text).alias("hash"))
 
 
 def frequent_shingles(src: DataFrame, least: int = FREQUENT, most: int = FREQUENT_MOST) -> np.ndarray:
@@ -113,7 +114,7 @@ def frequent_shingles(src: DataFrame, least: int = FREQUENT, most: int = FREQUEN
 
 
 def document_rows(src: DataFrame, frequent: np.ndarray, per_cent: int) -> DataFrame:
-    """(doc_id, at, class, n, keys, rare, bits, wide) of every document."""
+    """(doc_id, at, hash, class, n, keys, rare, bits, wide) of every document."""
     def run(batches):
         for batch in batches:
             for b in slices(batch, "text"):
@@ -122,11 +123,11 @@ def document_rows(src: DataFrame, frequent: np.ndarray, per_cent: int) -> DataFr
                 flat = np.concatenate(keys).view(np.int64)
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.record_batch([
-                    b.column(0), b.column(2), pa.array([class_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                    b.column(0), b.column(2), b.column(3), pa.array([class_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(rare, pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([wide_bitmap(s) for s in sets], pa.binary()),
-                ], ["doc_id", "at", "class", "n", "keys", "rare", "bits", "wide"])
+                ], ["doc_id", "at", "hash", "class", "n", "keys", "rare", "bits", "wide"])
 
-    return src.mapInArrow(run, "doc_id long, at long, class binary, n long, keys array<long>, rare long, bits binary, wide binary")
+    return src.mapInArrow(run, "doc_id long, at long, hash long, class binary, n long, keys array<long>, rare long, bits binary, wide binary")
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
@@ -387,9 +388,8 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id): the component of each document among all links."""
-    src = _source(docs, id_col, text_col)
+def linked_classes(src: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the documents, and (id, class, rep, label) of the classes: ``label`` tells components apart, ``rep`` is the least id of a class."""
     rows = written(document_rows(src, frequent_shingles(src), per_cent), "documents")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("rare").alias("rare"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -421,6 +421,12 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(verified(pairs, classes, src, per_cent))
     done = labelled(classes.select("id", "class", "rep"), components(links))
     discard(shared, open_lists, tested, pairs, links)
+    return rows, done
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
+    """(doc_id, n_shingles, class, component_id): the component of each document among all links."""
+    rows, done = linked_classes(_source(docs, id_col, text_col), per_cent)
     low = done.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = done.join(low, "label").select("class", "component_id")
     joined = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
@@ -429,14 +435,18 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
-    """The rows, with all their columns, of one document of each component: the one with its least id.
+    """Exactly one row, with all its columns, of each component: the first by id, rows without one last, then by a hash of the text.
 
-    Documents with an empty set are all kept, and so are rows without an id; of repeated rows with the least id one stays.
+    Repeated rows and rows without an id are rows like others. Rows with an empty set are all kept. Rows that tie in id and text
+    are told apart by their marks, which depend on partitions.
     """
-    found = join_components(docs, id_col, text_col, per_cent).where("doc_id is not null")
-    dropped = found.where("doc_id != component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    kept = docs.join(dropped, F.col(id_col).cast("long") == F.col("__dropped"), "left_anti")
-    return kept
+    marked = written(docs.withColumn("__row", F.monotonically_increasing_id()), "marked")
+    rows, done = linked_classes(_source(marked, id_col, text_col, "__row"), per_cent)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "at")
+    firsts = rows.where("n > 0").groupBy("class").agg(F.min(order).alias("first"))
+    firsts = firsts.join(done.select("class", "label"), "class").groupBy("label").agg(F.min("first").alias("first"))
+    dropped = rows.where("n > 0").select("at").join(firsts.select("first.at"), "at", "left_anti")
+    return marked.join(dropped.select(F.col("at").alias("__row")), "__row", "left_anti").drop("__row")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,6 +291,43 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, hot_rows):
     assert jaccard.join_components(docs.where("false")).count() == 0
 
 
+def components_of(texts, words=4, per_cent=85):
+    """The component of each text by comparing all pairs; texts without words are alone."""
+    said = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set() for w in said]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            c = len(sets[a] & sets[b])
+            if c and root[a] != root[b] and 100 * c >= per_cent * (len(sets[a]) + len(sets[b]) - c):
+                root = [root[b] if x == root[a] else x for x in root]
+    return root
+
+
+def test_one_row_of_each_component_stays(spark):
+    r = random.Random(9)
+    rows = []
+    for k in range(12):
+        base = [f"w{r.randrange(300)}" for _ in range(r.randrange(60, 100))]
+        near = [*base[:-1], "changed"]
+        rows += [(100 * k + r.randrange(3) if r.random() < 0.6 else None, " ".join(r.choice((base, near)))) for _ in range(r.randrange(1, 9))]
+    rows += [(1, rows[0][1])] * 30 + [(None, "only copies without an id")] * 20 + [(7, "only copies with an id")] * 20
+    rows += [(7, None), (7, ""), (7, ""), (None, " \n")]
+    r.shuffle(rows)
+    root = components_of([t for _, t in rows])
+    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, mark int")
+    first = None
+    for n in (1, 7):
+        kept = jaccard.keep_one_of_each(docs.repartition(n, "mark")).collect()
+        assert sorted(root[x.mark] for x in kept) == sorted(set(root))
+        for x in kept:
+            group = [d for k, (d, _) in enumerate(rows) if root[k] == root[x.mark]]
+            assert (x.doc_id, x.text) == rows[x.mark] and x.doc_id == min((d for d in group if d is not None), default=None)
+        chosen = sorted(repr((x.doc_id, x.text)) for x in kept)
+        assert chosen == (first or chosen)
+        first = chosen
+
+
 def test_linear_models():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5))
