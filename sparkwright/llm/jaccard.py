@@ -13,8 +13,8 @@
 5. Components come from alternating large-star and small-star steps.
 
 Defined results: a null or empty text, or one without words, has an empty set and is a component of its own; a text
-of fewer words than a shingle has one shingle of all its words; equal ids are one document to the component; a row without
-an id links others as any row does, and its component is the least id found, if any; repeated rows repeat; extra columns are ignored (kept by the filter); an empty table gives no rows.
+of fewer words than a shingle has one shingle of all its words; components are of rows: those of one id
+with different texts are linked by their texts alone; a row without an id links others as any row does, and its component is the least id found, if any; repeated rows repeat; extra columns are ignored (kept by the filter); an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -328,6 +328,12 @@ def test_one_row_of_each_component_stays(spark):
         first = chosen
 
 
+def test_texts_that_share_an_id(spark):
+    x, y = "one two three four five six", "red green blue black white grey"
+    kept = jaccard.keep_one_of_each(spark.createDataFrame([(3, x), (5, x), (5, y), (9, y)], "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == [(3, x), (5, y)]
+
+
 def test_linear_models():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5))
