@@ -98,12 +98,12 @@ def _source(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = N
     return docs.select(doc_id.alias("doc_id"), text.alias("text"), at.alias("at"), F.xxhash64(text).alias("hash"))
 
 
-def frequent_shingles(src: DataFrame, least: int = FREQUENT, most: int = FREQUENT_MOST) -> np.ndarray:
+def frequent_shingles(src: DataFrame, least: int = FREQUENT, most: int = FREQUENT_MOST, words: int = WORDS) -> np.ndarray:
     """Hashes of shingles that stand in ``least`` documents or more, the ``most`` commonest of them, sorted."""
     def run(batches):
         for batch in batches:
             for b in slices(batch, "text"):
-                sets = [shingles(t) for t in b.column(1).to_pylist() if t]
+                sets = [shingles(t, words) for t in b.column(1).to_pylist() if t]
                 value, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 yield pa.record_batch([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
 
@@ -113,12 +113,12 @@ def frequent_shingles(src: DataFrame, least: int = FREQUENT, most: int = FREQUEN
     return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def document_rows(src: DataFrame, frequent: np.ndarray, per_cent: int) -> DataFrame:
+def document_rows(src: DataFrame, frequent: np.ndarray, per_cent: int, words: int = WORDS) -> DataFrame:
     """(doc_id, at, hash, class, n, keys, rare, bits, wide) of every document."""
     def run(batches):
         for batch in batches:
             for b in slices(batch, "text"):
-                sets = [shingles(t) for t in b.column(1).to_pylist()]
+                sets = [shingles(t, words) for t in b.column(1).to_pylist()]
                 keys, rare = zip(*(prefix(s, frequent, per_cent) for s in sets), strict=True)
                 flat = np.concatenate(keys).view(np.int64)
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
@@ -150,7 +150,7 @@ def fits(n: Column, m: Column, per_cent: int) -> Column:
     return (100 * F.least(n, m)) >= (per_cent * F.greatest(n, m))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int, words: int = WORDS) -> DataFrame:
     """The pairs (a, b) of class ids that link, by comparing whole sets, which are made again from the texts. ``pairs`` is a written table."""
     pairs = written(with_wide_bits(pairs, classes, per_cent), "pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "at", "class"), "id")
@@ -161,7 +161,7 @@ def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int
     def sets_of(batches):
         for batch in batches:
             for b in slices(batch, "text"):
-                sets = [shingles(t) for t in b.column(2).to_pylist()]
+                sets = [shingles(t, words) for t in b.column(2).to_pylist()]
                 same = [class_id(s) == c for s, c in zip(sets, b.column(1).to_pylist(), strict=True)]  # an id may stand for several texts
                 yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"]).filter(pa.array(same, pa.bool_()))
 
@@ -388,9 +388,9 @@ def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def linked_classes(src: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
+def linked_classes(src: DataFrame, per_cent: int, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """The rows of the documents, and (id, class, rep, label) of the classes: ``label`` tells components apart, ``rep`` is the least id of a class."""
-    rows = written(document_rows(src, frequent_shingles(src), per_cent), "documents")
+    rows = written(document_rows(src, frequent_shingles(src, words=words), per_cent, words), "documents")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("rare").alias("rare"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     shared = written(shared_keys(classes), "shared")
@@ -403,7 +403,7 @@ def linked_classes(src: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]
         met = written(met, "met")
         pairs = written(with_bits(met, classes.select("id", "n", "bits"), per_cent), "candidates")
         discard(met)
-        found = verified(pairs, classes, src, per_cent)
+        found = verified(pairs, classes, src, per_cent, words)
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         labels = components(links)
@@ -418,15 +418,15 @@ def linked_classes(src: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]
             discard(former)
     full = open_lists.join(classes.select("id", "bits"), "id")
     pairs = written(tree_pairs(full, per_cent).distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
-    links = links.union(verified(pairs, classes, src, per_cent))
+    links = links.union(verified(pairs, classes, src, per_cent, words))
     done = labelled(classes.select("id", "class", "rep"), components(links))
     discard(shared, open_lists, tested, pairs, links)
     return rows, done
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, class, component_id): the component of each document among all links."""
-    rows, done = linked_classes(_source(docs, id_col, text_col), per_cent)
+    rows, done = linked_classes(_source(docs, id_col, text_col), per_cent, words)
     low = done.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = done.join(low, "label").select("class", "component_id")
     joined = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class"))
@@ -434,14 +434,14 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = PER_CENT, words: int = WORDS) -> DataFrame:
     """Exactly one row, with all its columns, of each component: the first by id, rows without one last, then by a hash of the text.
 
     Repeated rows and rows without an id are rows like others. Rows with an empty set are all kept. Rows that tie in id and text
     are told apart by their marks, which depend on partitions.
     """
     marked = written(docs.withColumn("__row", F.monotonically_increasing_id()), "marked")
-    rows, done = linked_classes(_source(marked, id_col, text_col, "__row"), per_cent)
+    rows, done = linked_classes(_source(marked, id_col, text_col, "__row"), per_cent, words)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "at")
     firsts = rows.where("n > 0").groupBy("class").agg(F.min(order).alias("first"))
     firsts = firsts.join(done.select("class", "label"), "class").groupBy("label").agg(F.min("first").alias("first"))

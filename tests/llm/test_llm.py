@@ -334,6 +334,18 @@ def test_texts_that_share_an_id(spark):
     assert sorted(map(tuple, kept.collect())) == [(3, x), (5, y)]
 
 
+def test_words_of_a_shingle(spark):
+    base = [f"w{k}" for k in range(40)]
+    near = [*base[:20], "changed", *base[21:]]
+    end = [*base[:-2], "p", "q"]
+    texts = [" ".join(x) for x in (base, near, end)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = components_of(texts, 5, 80)
+    assert root[0] == root[2] != root[1] and len(set(components_of(texts))) == 2
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join_components(docs, per_cent=80, words=5).collect()}
+    assert got == {0: (36, 0), 1: (36, 1), 2: (36, 0)}
+
+
 def test_linear_models():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5))
