@@ -18,7 +18,7 @@ MOVES = ("e2e4", "d2d4", "g1f3", "f1b5", "f1c4", "d2d4", "e7e5", "c7c5", "g8f6")
 
 def read_shards(spark: SparkSession, folder: str, layout: str = "data") -> DataFrame:
     """Shards of raw evaluations: ``data`` reads data/data_*.parquet, ``flat`` *.parquet, ``deep`` all folders below."""
-    reader = spark.read.schema(SCHEMA).option("ignoreCorruptFiles", "true")
+    reader = spark.read.schema(SCHEMA)
     if layout == "data":
         return reader.option("pathGlobFilter", "data_*.parquet").parquet(f"{folder}/data")
     if layout == "deep":

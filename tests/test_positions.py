@@ -117,3 +117,10 @@ def test_plans(spark):
     assert "WindowGroupLimit" in _plan(queries.best_positions(spark, TABLES))
     plan = _plan(spark.read.parquet(f"{TABLES}/events.parquet").where("user_id = 3").select("event_id"))
     assert "EqualTo(user_id,3)" in plan and "ReadSchema: struct<event_id:bigint,user_id:bigint>" in plan
+
+
+def test_damaged_shards_are_not_skipped(spark, tmp_path):
+    spark.range(3).selectExpr("'f' fen", "'l' line", "1 cp", "1 mate", "1 depth", "id knodes").coalesce(1).write.parquet(str(tmp_path / "flat"))
+    (tmp_path / "flat" / "damaged.parquet").write_bytes(b"PAR1 nothing PAR1")
+    with pytest.raises(Exception, match="damaged"):
+        evaluations.read_shards(spark, str(tmp_path / "flat"), "flat").count()
