@@ -346,6 +346,24 @@ def test_words_of_a_shingle(spark):
     assert got == {0: (36, 0), 1: (36, 1), 2: (36, 0)}
 
 
+def test_toxicity_finds(spark):
+    folder = TABLES.replace("sf0.01", "sf0.1")  # TABLES has 6 such rows
+    got = queries.QUERIES["op9_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out and toxic = 1")
+    n, found = got.agg(F.count("*"), F.avg("predicted")).first()
+    assert n >= 50 and found > 0.7
+
+
+def test_neighbours_of_many_vectors(spark):
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(100, 16)), 40, axis=0) + 0.5 * rng.normal(size=(4000, 16))
+    assert len(x) * neighbours.SHARE > neighbours.LEAST
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(docs, F.col("vec_id") % 100 == 0).select("query_id", "vec_id").collect()
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    want = {(q, int(k)) for q in range(0, 4000, 100) for k in [j for j in np.argsort(-(unit @ unit[q]), kind="stable") if j != q][:5]}
+    assert len(got) == len(want) and len(want & set(map(tuple, got))) >= 0.9 * len(want)
+
+
 def test_linear_models():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5))
