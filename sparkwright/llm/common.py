@@ -76,7 +76,10 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
 
     So they are fewer than ``HOT_KEYS``, which bounds their broadcast, and their parts fewer than twice that. ``rows`` is a written table.
     """
-    least = max(HOT_ROWS, -(-rows.count() // HOT_KEYS))
+    total = rows.count()
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    if total <= least:
+        return None
     counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__rows")).where(F.col("__rows") > least)
     hot = written(counted.select(key, F.ceil(F.col("__rows") / least).cast("int").alias("__parts")), "hot")
     return None if hot.isEmpty() else hot

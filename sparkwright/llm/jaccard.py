@@ -6,10 +6,11 @@
    shingles count as frequent affects speed alone, never the result.
 3. The classes of each shared prefix shingle are first compared with one or two centres; links join components. Lists whose
    members are all in one component are done, so groups of near copies cost a few comparisons a member.
-4. The other lists go through signature trees: nodes hold the OR of their members' bitmaps, size ranges and
+4. The other lists are gathered into blocks, which go through signature trees: nodes hold the OR of their members' bitmaps, size ranges and
    whether all members are in one component; a dual traversal drops node pairs whose sizes do not fit, whose greatest possible overlap is too small or
-   which are connected already. What is left is compared exactly. A list longer than ``LIST`` is dealt into cells of chunk pairs, so
-   that no task holds it whole.
+   which are connected already. It says which members have a partner; these meet again with their whole sets, in the same traversal, and only links
+   that join two components of a cell are written. So no step writes more than a few rows a member, however many pairs of a group come near the
+   threshold. A block of more than ``LIST`` members is dealt into cells of chunk pairs, so that no task holds it whole.
 5. Components come from alternating large-star and small-star steps.
 
 Defined results: a null or empty text, or one without words, has an empty set and is a component of its own; a text
@@ -33,6 +34,7 @@ FREQUENT, FREQUENT_MOST = 20, 500_000  # documents with a frequent shingle at le
 BITS, LEAF, FAN, LIST = 512, 16, 4, 4096
 WIDE = 4  # bits a shingle of the second bitmap
 BROADCAST_ROWS, CENTRES = 1_000_000, 2
+ELEMENTS = 4_000_000  # shingles of a chunk
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -134,15 +136,19 @@ def shared_keys(classes: DataFrame) -> DataFrame:
     """(key, id, n, place, size, low, high) of prefix shingles that ``size`` >= 2 classes have; their least and greatest id.
 
     A frequent shingle may stand in any share of all classes, so its rows are counted with partial aggregation and stay where they are; there are
-    at most ``FREQUENT_MOST`` such shingles, which bounds the broadcast. Other shingles stand about once in each slice of the input at most.
+    at most ``FREQUENT_MOST`` such shingles, which bounds the broadcast. A shingle that no slice has twice escapes that count; so those which
+    stand often in every 64th class are treated alike. Which shingles these are affects speed alone.
     """
     by_key = Window.partitionBy("key")
     rows = classes.select("id", "n", "rare", F.posexplode("keys").alias("place", "key")).withColumn("place", F.col("place").cast("int"))
+    hot = hot_keys(written(rows.where("id % 64 = 0 and place < rare").select("key"), "every-64th"), "key")
+    if hot is not None:
+        rows = rows.join(F.broadcast(hot), "key", "left").withColumn("rare", F.when(F.col("__parts").isNull(), F.col("rare")).otherwise(0)).drop("__parts")
     few, many = rows.where("place < rare").drop("rare"), rows.where("place >= rare").drop("rare")
     facts = {"size": F.count("*"), "low": F.min("id"), "high": F.max("id")}
     few = few.select("key", "id", "n", "place", *[f.over(by_key).alias(name) for name, f in facts.items()]).where("size > 1")
     sizes = many.groupBy("key").agg(*[f.alias(name) for name, f in facts.items()]).where("size > 1")
-    return few.unionByName(many.join(F.broadcast(sizes), "key"))
+    return few.unionByName(many.join(F.broadcast(sizes), "key")).select("key", "id", "n", "place", "size", "low", "high")
 
 
 def fits(n: Column, m: Column, per_cent: int) -> Column:
@@ -150,13 +156,11 @@ def fits(n: Column, m: Column, per_cent: int) -> Column:
     return (100 * F.least(n, m)) >= (per_cent * F.greatest(n, m))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int, words: int = WORDS) -> DataFrame:
-    """The pairs (a, b) of class ids that link, by comparing whole sets, which are made again from the texts. ``pairs`` is a written table."""
-    pairs = written(with_wide_bits(pairs, classes, per_cent), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "at", "class"), "id")
-    wanted = written(wanted, "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
-    texts = src.select("at", "text").join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "at").select("id", "class", "text")
+def sets_of_classes(wanted: DataFrame, classes: DataFrame, src: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, set), written, of the classes ``wanted``, a written table of distinct ids; sets are made again from the texts."""
+    found = written(wanted.join(classes.select("id", "at", "class"), "id"), "found")
+    small = found.count() <= BROADCAST_ROWS
+    texts = src.select("at", "text").join(F.broadcast(found) if small else found.hint("shuffle_hash"), "at").select("id", "class", "text")
 
     def sets_of(batches):
         for batch in batches:
@@ -165,8 +169,17 @@ def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int
                 same = [class_id(s) == c for s, c in zip(sets, b.column(1).to_pylist(), strict=True)]  # an id may stand for several texts
                 yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"]).filter(pa.array(same, pa.bool_()))
 
-    made = written(texts.mapInArrow(sets_of, "id long, set binary"), "sets")
-    sets = made.groupBy("id").agg(F.any_value("set").alias("set"))
+    made = written(texts.mapInArrow(sets_of, "id long, set binary"), "made")
+    sets = written(made.groupBy("id").agg(F.any_value("set").alias("set")), "sets")
+    discard(found, made)
+    return sets
+
+
+def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b) of class ids that link, by comparing whole sets, which are made again from the texts. ``pairs`` is a written table."""
+    pairs = written(with_wide_bits(pairs, classes, per_cent), "pairs")
+    wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    sets = sets_of_classes(wanted, classes, src, words)
 
     def compare(batches):
         for batch in batches:
@@ -184,7 +197,7 @@ def verified(pairs: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int
     both = dealt_join(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a", "b", hot_keys(pairs, "a"))
     both = dealt_join(both, sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b", "a", hot_keys(pairs, "b"))
     links = written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
-    discard(pairs, wanted, made)
+    discard(pairs, wanted, sets)
     return links
 
 
@@ -230,49 +243,92 @@ def most_overlap(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) ->
     return np.minimum(both, common + np.minimum(n - _ones(x), m - _ones(y)))
 
 
+class Members:
+    """Classes that may be compared: sizes, first bitmaps, labels and, on request, the second bitmaps folded to a common width."""
+
+    def __init__(self, n: np.ndarray, label: np.ndarray, bits: list[bytes], wide: list[bytes]):
+        self.n, self.label = n, label
+        self.bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(n), BITS // 64)
+        self.spare = n - np.bitwise_count(self.bits).sum(1).astype(np.int64)
+        self.width = np.array([len(w) for w in wide], np.int64)
+        self.wide, self.folded = wide, {}
+
+    def _folded(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Second bitmaps of members that are ``width`` bytes or twice that, where each of them is, and the shingles that share a bit."""
+        if width not in self.folded:
+            own, more = np.flatnonzero(self.width == width), np.flatnonzero(self.width == 2 * width)
+            x = np.frombuffer(b"".join(self.wide[k] for k in own), np.uint64).reshape(len(own), width // 8)
+            y = np.frombuffer(b"".join(self.wide[k] for k in more), np.uint64).reshape(len(more), 2, width // 8)
+            both = np.concatenate([x, y[:, 0] | y[:, 1]])
+            at = np.full(len(self.n), -1, np.int64)
+            at[np.concatenate([own, more])] = np.arange(len(both))
+            spare = self.n[np.concatenate([own, more])] - np.bitwise_count(both).sum(1).astype(np.int64)
+            self.folded[width] = both, at, spare
+        return self.folded[width]
+
+    def alike(self, p: np.ndarray, q: np.ndarray, per_cent: int) -> np.ndarray:
+        """Which pairs have other labels, sizes that fit and first bitmaps that allow enough overlap."""
+        n, m = self.n[p], self.n[q]
+        keep = (self.label[p] != self.label[q]) & (100 * np.minimum(n, m) >= per_cent * np.maximum(n, m))
+        at = np.flatnonzero(keep)
+        common = np.bitwise_count(self.bits[p[at]] & self.bits[q[at]]).sum(1).astype(np.int64)
+        most = np.minimum(np.minimum(n[at], m[at]), common + np.minimum(self.spare[p[at]], self.spare[q[at]]))
+        keep[at] = (100 + per_cent) * most >= per_cent * (n[at] + m[at])
+        return keep
+
+    def alike_wide(self, p: np.ndarray, q: np.ndarray, per_cent: int) -> np.ndarray:
+        """Which pairs, of sizes that fit, have second bitmaps that allow enough overlap."""
+        keep, widths = np.ones(len(p), bool), np.minimum(self.width[p], self.width[q])
+        far = np.maximum(self.width[p], self.width[q]) > 2 * widths  # only a low likeness lets such sizes fit
+        for width in np.unique(widths[~far]):
+            both, at, spare = self._folded(int(width))
+            here, step = np.flatnonzero((widths == width) & ~far), max(1, (8 << 20) // int(width))
+            for s in range(0, len(here), step):
+                k = here[s : s + step]
+                x, y, n, m = at[p[k]], at[q[k]], self.n[p[k]], self.n[q[k]]
+                common = np.bitwise_count(both[x] & both[y]).sum(1).astype(np.int64)
+                most = np.minimum(np.minimum(n, m), common + np.minimum(spare[x], spare[y]))
+                keep[k] = (100 + per_cent) * most >= per_cent * (n + m)
+        return keep
+
+
 class Tree:
-    """A signature tree over list members in order of size; level 0 are members, the last level is the root."""
+    """A signature tree over members ``at`` in order of size; level 0 are members, level 1 leaves, the last level is the root."""
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, label: np.ndarray):
-        x = np.ascontiguousarray(bits).view(np.uint64)
-        self.levels = [(n, n, x, n - np.bitwise_count(x).sum(1).astype(np.int64), label, np.ones(len(n), bool))]
+    def __init__(self, members: Members, at: np.ndarray):
+        n, x, label = members.n[at], members.bits[at], members.label[at]
+        self.at, self.levels = at, [(n, n, x, members.spare[at], label, np.ones(len(n), bool))]
         fan = LEAF
-        while len(self.levels[-1][0]) > 1:
+        while len(self.levels) == 1 or len(self.levels[-1][0]) > 1:
             low, high, x, spare, label, pure = self.levels[-1]
-            at = np.arange(0, len(low), fan)
-            same = np.minimum.reduceat(label, at) == np.maximum.reduceat(label, at)
-            self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.bitwise_or.reduceat(x, at), np.maximum.reduceat(spare, at), label[at], same & np.logical_and.reduceat(pure, at)))
+            cut = np.arange(0, len(low), fan)
+            same = np.minimum.reduceat(label, cut) == np.maximum.reduceat(label, cut)
+            self.levels.append((np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.bitwise_or.reduceat(x, cut), np.maximum.reduceat(spare, cut), label[cut], same & np.logical_and.reduceat(pure, cut)))
             fan = FAN
 
     def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Children of nodes of a level, and which of ``nodes`` each belongs to."""
-        fan = LEAF if level == 1 else FAN
-        kids = nodes[:, None] * fan + np.arange(fan)
+        kids = nodes[:, None] * FAN + np.arange(FAN)
         inside = kids < len(self.levels[level - 1][0])
         return kids[inside], np.nonzero(inside)[0]
 
 
 def dual_traversal(a: Tree, b: Tree, same: bool, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members (i of a, j of b) that may link and are not in one component; each pair once if ``same``."""
+    """Leaves (i of a, j of b) that may hold members which link and are not in one component; each pair once if ``same``."""
     la, lb = len(a.levels) - 1, len(b.levels) - 1
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
         (alow, ahigh, ax, aspare, alabel, apure), (blow, bhigh, bx, bspare, blabel, bpure) = a.levels[la], b.levels[lb]
         if same and la == lb:
-            keep = (i < j) if la == 0 else (i <= j)
-            i, j = i[keep], j[keep]
+            i, j = i[i <= j], j[i <= j]
         keep = (100 * ahigh[i] >= per_cent * blow[j]) & (100 * bhigh[j] >= per_cent * alow[i])
         keep &= ~(apure[i] & bpure[j] & (alabel[i] == blabel[j]))
         i, j = i[keep], j[keep]
-        good = []
-        for s in range(0, len(i), 65536):
-            p, q = i[s : s + 65536], j[s : s + 65536]
-            common = np.bitwise_count(ax[p] & bx[q]).sum(1).astype(np.int64)
-            most = np.minimum(np.minimum(ahigh[p], bhigh[q]), common + np.minimum(aspare[p], bspare[q]))
-            good.append((100 + per_cent) * most >= per_cent * (alow[p] + blow[q]))
-        keep = np.concatenate(good) if good else np.zeros(0, bool)
+        common = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(ax[i[s : s + 65536]] & bx[j[s : s + 65536]]).sum(1).astype(np.int64) for s in range(0, len(i), 65536))])
+        most = np.minimum(np.minimum(ahigh[i], bhigh[j]), common + np.minimum(aspare[i], bspare[j]))
+        keep = (100 + per_cent) * most >= per_cent * (alow[i] + blow[j])
         i, j = i[keep], j[keep]
-        if (la == 0 and lb == 0) or not len(i):
+        if (la == 1 and lb == 1) or not len(i):
             return i, j
         if la >= lb:
             kids, of = a.children(la, i)
@@ -285,80 +341,191 @@ def dual_traversal(a: Tree, b: Tree, same: bool, per_cent: int) -> tuple[np.ndar
             i, j = pairs[:, 0], pairs[:, 1]
 
 
-def tree_pairs(mixed: DataFrame, per_cent: int) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of lists (key, id, n, place, size, label, bits), by signature trees."""
-    chunks = F.ceil(F.col("size") / LIST).cast("int")
-    chunk = F.pmod(F.xxhash64("id"), chunks).cast("int")
-    # A list of c chunks makes a cell of each pair of chunks; a member goes to the c cells of its chunk.
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cells = mixed.withColumn("chunks", chunks).withColumn("chunk", chunk).withColumn("other", other).select(
-        "key", F.least("chunk", "other").alias("u"), F.greatest("chunk", "other").alias("v"), "chunk", "id", "n", "place", "label", "bits"
-    )
-    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cells.repartition(n, "key", "u", "v").sortWithinPartitions("key", "u", "v", "chunk", "n", "id")
-    names = ["key", "u", "v", "chunk", "id", "n", "place", "label", "bits"]
-
-    def solve(t: pa.Table):
-        u, chunk, ids, sizes, place, label = (t.column(k).to_numpy() for k in (1, 3, 4, 5, 6, 7))
-        bits = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint8).reshape(len(ids), BITS // 8)
-        left = int((chunk == u).sum())
-        v = int(t.column(2)[0].as_py())
-        parts = [slice(0, left)] if u[0] == v else [slice(0, left), slice(left, None)]
-        trees = [Tree(sizes[p], bits[p], label[p]) if len(sizes[p]) else None for p in parts]
-        if None in trees:
-            return np.zeros((0, 2), np.int64)
-        i, j = dual_traversal(trees[0], trees[-1], len(trees) == 1, per_cent)
-        j = j + (0 if len(trees) == 1 else left)
-        # At their first common shingle no more of the two sets can be common than what follows it.
-        need = -(-per_cent * (sizes[i] + sizes[j]) // (100 + per_cent))
-        keep = np.minimum(sizes[i] - place[i], sizes[j] - place[j]) >= need
-        return np.sort(np.stack([ids[i[keep]], ids[j[keep]]], 1), axis=1)
-
-    def short(t: pa.Table, cell: np.ndarray) -> np.ndarray:
-        """Pairs of all lists of at most LEAF members at once: such a tree is one leaf."""
-        ids, sizes, place, label = (t.column(k).to_numpy() for k in (4, 5, 6, 7))
-        bits = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint64).reshape(len(ids), BITS // 64)
-        spare, out = sizes - np.bitwise_count(bits).sum(1).astype(np.int64), [np.zeros((0, 2), np.int64)]
-        for d in range(1, min(LEAF, len(ids))):
-            i = np.flatnonzero((cell[d:] == cell[:-d]).all(1))
-            if not len(i):
+def member_pairs(a: Tree, b: Tree, members: Members, per_cent: int, leaves: int = 2048):
+    """Pairs (p, q) of members that both bitmaps allow, some leaves at a time, so that no list of all pairs is ever held."""
+    i, j = dual_traversal(a, b, a is b, per_cent)
+    order = np.argsort(i, kind="stable")
+    for s in range(0, len(i), leaves):
+        x, y = i[order[s : s + leaves]], j[order[s : s + leaves]]
+        p = np.repeat(x[:, None] * LEAF + np.arange(LEAF), LEAF, axis=1).ravel()
+        q = np.tile(y[:, None] * LEAF + np.arange(LEAF), (1, LEAF)).ravel()
+        keep = (p < len(a.at)) & (q < len(b.at)) & ((p < q) if a is b else True)
+        p, q = a.at[p[keep]], b.at[q[keep]]
+        keep = members.alike(p, q, per_cent)
+        yield p[keep], q[keep]
+
+
+def trees_of(members: Members, at: np.ndarray, chunk: np.ndarray, u: int, v: int) -> tuple[Tree, Tree] | None:
+    """The two trees of a cell (one and the same where its chunks are); None if one chunk has no member."""
+    if u == v:
+        tree = Tree(members, at)
+        return tree, tree
+    left, right = at[chunk[at] == u], at[chunk[at] == v]
+    return (Tree(members, left), Tree(members, right)) if len(left) and len(right) else None
+
+
+def surviving(members: Members, cells: list[tuple[np.ndarray, int, int]], chunk: np.ndarray, per_cent: int) -> np.ndarray:
+    """Which members have a partner in their cell that both bitmaps allow. Pairs of members known to survive are skipped."""
+    alive = np.zeros(len(members.n), bool)
+    small = [at for at, u, v in cells if u == v and len(at) <= LEAF]
+    if small:  # such a tree is one leaf: all of them at once
+        at, cell = np.concatenate(small), np.repeat(np.arange(len(small)), list(map(len, small)))
+        for d in range(1, LEAF):
+            same = np.flatnonzero(cell[d:] == cell[:-d]) if d < len(cell) else []
+            if not len(same):
                 break
-            j = i + d
-            need = -(-per_cent * (sizes[i] + sizes[j]) // (100 + per_cent))
-            keep = (label[i] != label[j]) & (np.minimum(sizes[i] - place[i], sizes[j] - place[j]) >= need)
-            i, j, need = i[keep], j[keep], need[keep]
-            common = np.bitwise_count(bits[i] & bits[j]).sum(1).astype(np.int64)
-            keep = np.minimum(np.minimum(sizes[i], sizes[j]), common + np.minimum(spare[i], spare[j])) >= need
-            out.append(np.sort(np.stack([ids[i[keep]], ids[j[keep]]], 1), axis=1))
-        return np.concatenate(out)
+            p, q = at[same], at[same + d]
+            keep = members.alike(p, q, per_cent) & ~(alive[p] & alive[q])
+            p, q = p[keep], q[keep]
+            keep = members.alike_wide(p, q, per_cent)
+            alive[p[keep]] = alive[q[keep]] = True
+    for at, u, v in cells:
+        if (u != v or len(at) > LEAF) and (trees := trees_of(members, at, chunk, u, v)):
+            for p, q in member_pairs(*trees, members, per_cent):
+                keep = ~(alive[p] & alive[q])
+                p, q = p[keep], q[keep]
+                keep = members.alike_wide(p, q, per_cent)
+                alive[p[keep]] = alive[q[keep]] = True
+    return np.flatnonzero(alive)
+
+
+def forest(members: Members, cell: tuple[np.ndarray, int, int], chunk: np.ndarray, sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
+    """Links of one cell that join its members' components as all its links do: fewer than it has members."""
+    at, u, v = cell
+    trees = trees_of(members, at, chunk, u, v)
+    if trees is None:
+        return []
+    ends = np.cumsum([0, *(len(sets[k]) for k in at)])
+    values, codes = np.unique(np.concatenate([sets[k] for k in at]), return_inverse=True)
+    code_of = {int(k): codes[ends[x] : ends[x + 1]] for x, k in enumerate(at)}
+    mark, label, links = np.zeros(len(values), bool), members.label.copy(), []
+    for p, q in member_pairs(*trees, members, per_cent):
+        order = np.argsort(p, kind="stable")
+        p, q = p[order], q[order]
+        for s, e in zip(cuts := np.flatnonzero(np.diff(p, prepend=-1)), [*cuts[1:], len(p)], strict=True):
+            one = p[s]
+            other = q[s:e][label[q[s:e]] != label[one]]
+            other = other[members.alike_wide(np.full(len(other), one), other, per_cent)]
+            if not len(other):
+                continue
+            mark[code_of[int(one)]] = True
+            for k in range(0, len(other), 256):
+                near = other[k : k + 256]
+                sizes = members.n[near]
+                common = np.add.reduceat(mark[np.concatenate([code_of[int(x)] for x in near])].astype(np.int64), np.cumsum(sizes) - sizes)
+                near = near[100 * common >= per_cent * (members.n[one] + sizes - common)]
+                for x in near:
+                    if label[x] != label[one]:
+                        links.append((int(one), int(x)))
+                        label[label == label[x]] = label[one]
+            mark[code_of[int(one)]] = False
+    return links
+
+
+def blocks_of(lists: DataFrame) -> DataFrame:
+    """(block, id) such that all members of a list (key, id, low) meet in a block.
 
+    Near copies share most of their lists, so lists with the same least class are one block if that makes no more pairs than the lists apart.
+    """
+    hot = hot_keys(lists, "low")
+    one = written(lists.select("low", "id").distinct(), "blocks")
+    size = one.groupBy("low").agg(F.count("*").alias("size"))
+    apart = lists.groupBy("low", "key").agg(F.count("*").alias("size")).groupBy("low").agg(F.sum(F.col("size") * F.col("size")).alias("apart"))
+    merged = written(size.join(apart, "low").select("low", (F.col("size") * F.col("size") <= F.col("apart")).alias("merged")), "merged")
+    whole = dealt_join(one, merged, "low", "id", hot).where("merged").select(F.col("low").alias("block"), "id")
+    split = dealt_join(lists, merged, "low", "id", hot).where("not merged").select(F.xxhash64("key").alias("block"), "id")
+    out = written(whole.union(split), "block-rows")
+    discard(one, merged)
+    return out
+
+
+def celled(blocks: DataFrame, columns: DataFrame) -> DataFrame:
+    """Rows (block, id) with ``columns`` of id, dealt to cells: a block of c chunks makes a cell (u, v) of each pair of chunks, and a member
+    goes to the c cells of its chunk. Chunks hold about ``LIST`` members and ``ELEMENTS`` shingles, so that no task holds a block whole."""
+    chunks = F.ceil(F.greatest(F.count("*") / LIST, F.sum("n") / ELEMENTS)).cast("int")
+    heavy = hot_keys(blocks, "id")
+    large = dealt_join(blocks, columns.select("id", "n"), "id", "block", heavy).groupBy("block").agg(chunks.alias("chunks")).where("chunks > 1")
+    rows = dealt_join(dealt_join(blocks, large, "block", "id", hot_keys(blocks, "block"), "left"), columns, "id", "block", heavy).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.withColumn("u", F.least("chunk", "other")).withColumn("v", F.greatest("chunk", "other")).drop("chunks", "other")
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "block", "u", "v").sortWithinPartitions("block", "u", "v", "n", "id")
+
+
+def whole_cells(batches, cell: tuple[str, str, str] = ("block", "u", "v")):
+    """Tables of whole cells, with the cells' rows as (places, u, v), from batches in order of cells."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        first, last = ([held.column(c)[k].as_py() for c in cell] for k in (0, len(held) - 1))
+        if first == last:
+            continue
+        held = held.combine_chunks()
+        cuts = _cuts(held, cell)
+        yield held.slice(0, int(cuts[-1])), _places(held, cuts)
+        held = held.slice(int(cuts[-1]))
+    if held is not None:
+        held = held.combine_chunks()
+        cuts = np.append(_cuts(held, cell), len(held))
+        yield held, _places(held, cuts)
+
+
+def _cuts(t: pa.Table, cell) -> np.ndarray:
+    values = np.stack([t.column(c).to_numpy().astype(np.int64) for c in cell], 1)
+    return np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1
+
+
+def _places(t: pa.Table, cuts: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+    u, v = t.column("u").to_numpy(), t.column("v").to_numpy()
+    return [(np.arange(s, e), int(u[s]), int(v[s])) for s, e in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+
+def _members(t: pa.Table) -> Members:
+    return Members(t.column("n").to_numpy(), t.column("label").to_numpy(), t.column("bits").to_pylist(), t.column("wide").to_pylist())
+
+
+def with_partners(cells: DataFrame, per_cent: int) -> DataFrame:
+    """(block, id) of the members that have a partner in their cell by signature trees and both bitmaps: at most a row a member."""
     def run(batches):
-        held, seen = None, []
-        for b in batches:
-            t = pa.Table.from_batches([b]).select(names)
-            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            cell = np.stack([held.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
-            cuts = np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1
-            if len(cuts):
-                starts, sizes = np.concatenate([[0], cuts[:-1]]), np.diff(cuts, prepend=0)
-                for s, e in zip(starts[sizes > LEAF], cuts[sizes > LEAF], strict=True):
-                    seen.append(solve(held.slice(s, e - s)))
-                few = np.repeat(sizes <= LEAF, sizes)
-                seen.append(short(held.slice(0, int(cuts[-1])).filter(pa.array(few)), cell[: cuts[-1]][few]))
-                held = held.slice(int(cuts[-1]))
-            if sum(map(len, seen)) > 100_000:
-                yield from emit(seen)
-        if held is not None and len(held):
-            seen.append(solve(held))
-        yield from emit(seen)
-
-    def emit(seen: list[np.ndarray]):
-        if seen:
-            p = np.unique(np.concatenate(seen), axis=0)
-            seen.clear()
-            yield pa.record_batch([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-
-    return ordered.select(*names).mapInArrow(run, "a long, b long")
+        for t, places in whole_cells(batches):
+            at = surviving(_members(t), places, t.column("chunk").to_numpy(), per_cent)
+            yield from t.select(["block", "id"]).take(pa.array(at)).to_batches()
+
+    return cells.mapInArrow(run, "block long, id long")
+
+
+def cell_links(cells: DataFrame, per_cent: int) -> DataFrame:
+    """Links (a, b) that join components as all links inside cells do, by whole sets (``set``): fewer than a row a member."""
+    def run(batches):
+        for t, places in whole_cells(batches):
+            members, ids, found = _members(t), t.column("id").to_numpy(), []
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+            for place in places:
+                found += forest(members, place, t.column("chunk").to_numpy(), sets, per_cent)
+            pairs = np.sort(ids[np.array(found, np.int64).reshape(-1, 2)], axis=1)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def block_links(lists: DataFrame, labels: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int, words: int = WORDS) -> DataFrame:
+    """Links (a, b) that join components as all links between members of one list (key, id, low) do.
+
+    Signature trees say which members have a partner; only they are compared by whole sets, inside their cells. Neither step writes pairs that
+    may link, so a group of near copies costs a few rows a member, however few of its pairs link.
+    """
+    blocks = blocks_of(lists)
+    known = labelled(classes.select("id", "n", "bits", "wide"), labels)
+    alive = written(with_partners(celled(blocks, known), per_cent).distinct(), "alive")
+    wanted = written(alive.select("id").distinct(), "wanted")
+    sets = sets_of_classes(wanted, classes, src, words)
+    full = known.join(sets, "id")
+    links = written(cell_links(celled(alive, full), per_cent), "links")
+    discard(blocks, alive, wanted, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -416,11 +583,11 @@ def linked_classes(src: DataFrame, per_cent: int, words: int = WORDS) -> tuple[D
         former, open_lists = open_lists, written(dealt.join(mixed, ["key", "part"], "left_semi").drop("part"), "mixed")
         if former is not shared:
             discard(former)
-    full = open_lists.join(classes.select("id", "bits"), "id")
-    pairs = written(tree_pairs(full, per_cent).distinct().join(tested, ["a", "b"], "left_anti"), "candidates")
-    links = links.union(verified(pairs, classes, src, per_cent, words))
+    # All pairs with a centre are tested, so lists of three are done, and centres leave the others.
+    lists = written(open_lists.where("size > 3 and id != low and id != high").select("key", "id", "low"), "lists")
+    links = links.union(block_links(lists, labels, classes, src, per_cent, words))
     done = labelled(classes.select("id", "class", "rep"), components(links))
-    discard(shared, open_lists, tested, pairs, links)
+    discard(shared, open_lists, lists, tested, links)
     return rows, done
 
 

@@ -291,6 +291,35 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, hot_rows):
     assert jaccard.join_components(docs.where("false")).count() == 0
 
 
+def test_near_copies_cost_a_few_rows_each(spark, monkeypatch):
+    """2,000 near copies, few pairs of which link: no step writes pairs, and results equal those of all pairs."""
+    r, made = random.Random(11), {}
+    rows = [(k, " ".join(f"new{k}" if x == at else f"w{x}" for x in range(100))) for k in range(2000) for at in [r.randrange(3, 97)]]
+    rows += [(5000 + k, " ".join(f"w{x}" for x in range(6 + k, 94 + k))) for k in range(3)]
+    kept = jaccard.written
+
+    def counted(df, what):
+        out = kept(df, what)
+        made[what] = max(made.get(what, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    monkeypatch.setattr(jaccard, "LIST", 1500)
+    got = {x.doc_id: x.component_id for x in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [np.unique(jaccard.shingles(t)) for _, t in rows]
+    codes, root = np.unique(np.concatenate(sets), return_inverse=True)[1], np.arange(len(rows))
+    held = np.zeros((len(rows), codes.max() + 1), np.float32)
+    held[np.repeat(np.arange(len(rows)), list(map(len, sets))), codes] = 1
+    common, n = held @ held.T, held.sum(1)
+    for a, b in np.argwhere(np.triu(100 * common >= 85 * (n[:, None] + n - common), 1)):
+        if root[a] != root[b]:
+            root[root == max(root[a], root[b])] = min(root[a], root[b])
+    assert got == {d: rows[root[k]][0] for k, (d, _) in enumerate(rows)}
+    keys = sum(len(s) - -(-85 * len(s) // 100) + 1 for s in sets)
+    assert made.pop("shared") <= keys and made.pop("mixed") <= keys and made.pop("every-64th") <= keys
+    assert made.pop("lists") <= keys and max(made.values()) <= 4 * len(rows), made
+
+
 def components_of(texts, words=4, per_cent=85):
     """The component of each text by comparing all pairs; texts without words are alone."""
     said = [(t or "").encode().lower().split() for t in texts]
