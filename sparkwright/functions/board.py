@@ -109,3 +109,9 @@ def move_of_class(number: Column, legal: Column) -> Column:
     plain = F.concat(square(F.floor(number / 64)), square(number % 64))
     forms = F.array(*[F.concat(plain, F.lit(p)) for p in ("", "q", "n", "r", "b")])
     return F.when(number.between(0, 4095), F.get(F.filter(forms, lambda m: F.array_contains(legal, m)), F.lit(0)))
+
+
+def legacy_indices(fen: Column) -> Column:
+    """Sorted set bits of the older 769-wide vector: square * 12 + piece, and 768 if White is to move."""
+    pieces = F.filter(F.transform(cells(fen), lambda c, i: F.when(c != ".", i * 12 + F.instr(F.lit(PIECES), c) - 1)), lambda x: x.isNotNull())
+    return F.concat(pieces, F.when(field(fen, 2) == "w", F.array(F.lit(768))).otherwise(F.array().cast("array<int>")))

@@ -3,40 +3,77 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import rules
+from ..functions import board, rules
 
 
-def legal_moves(positions: DataFrame) -> DataFrame:
-    """(fen, legal) of distinct positions; ``legal`` is null if a FEN cannot be parsed and empty if the game is over.
+def with_legal(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``legal``, the moves of their ``fen``: null if it cannot be parsed, empty if the game is over.
 
-    Sparse moves and not 4,096 flags leave Python; positions are made distinct before the work.
+    Nothing is shuffled, so a position that most rows share weighs no more than others: a batch works out each of its positions once, and a worker remembers them.
     """
+    place, moves = rows.columns.index("fen"), pa.list_(pa.string())
+
     def run(batches):
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([rules.legal_uci(f) for f in b.column(0).to_pylist()], pa.list_(pa.string()))], ["fen", "legal"])
+            fens = b.column(place).dictionary_encode()
+            legal = pa.array([rules.legal_uci(f) for f in fens.dictionary.to_pylist()] + [None], moves)
+            at = fens.indices.fill_null(len(legal) - 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, legal.take(at)], names=[*b.schema.names, "legal"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("legal", T.ArrayType(T.StringType()))]))
+
+
+def legal_moves(positions: DataFrame) -> DataFrame:
+    """(fen, legal) of distinct positions. Sparse moves and not 4,096 flags leave Python."""
+    return with_legal(positions.select("fen").where("fen is not null").distinct())
+
+
+def legal_classes(legal: Column) -> Column:
+    """The classes of a list of moves; a promotion's piece makes no difference."""
+    return F.array_distinct(F.transform(legal, board.move_class))
 
-    return positions.select("fen").where("fen is not null").distinct().mapInArrow(run, "fen string, legal array<string>")
+
+def is_legal(move: Column, legal: Column) -> Column:
+    """Whether a well-formed move's class is among the legal ones."""
+    return F.coalesce(F.array_contains(legal_classes(legal), board.move_class(move)), F.lit(False))
 
 
 def keep_legal(rows: DataFrame, move: str = "move") -> DataFrame:
     """Rows whose move is legal in their position."""
-    return rows.join(legal_moves(rows), "fen").where(F.array_contains("legal", F.col(move)))
+    return with_legal(rows).where(is_legal(F.col(move), F.col("legal"))).drop("legal")
 
 
-def drop_reasons(raw: DataFrame) -> DataFrame:
-    """Rows by what would drop them: no line, bad FEN, bad move, no score, illegal move, or none."""
-    from ..functions import board
+def terminal_positions(positions: DataFrame) -> DataFrame:
+    """Distinct positions without a legal move."""
+    return legal_moves(positions).where(F.size("legal") == 0).select("fen")
+
+
+def keep_legal_moves(values: DataFrame, least_moves: int = 1) -> DataFrame:
+    """Action values (fen, moves, cp, mate, ...) with bad and illegal moves dropped from the aligned lists, the class of each move for the side to move
+    as ``classes`` and all legal classes as ``legal``; positions with fewer than ``least_moves`` moves left go."""
+    rows = with_legal(values.where(F.size("moves") >= least_moves))
+    rows = rows.withColumn("legal", legal_classes(F.col("legal")))
+    kept = F.filter(F.arrays_zip("moves", "cp", "mate"), lambda z: F.coalesce(F.array_contains(F.col("legal"), board.move_class(z["moves"])), F.lit(False)))
+    rows = rows.withColumn("kept", kept).where(F.size("kept") >= least_moves)
+    for name in ("moves", "cp", "mate"):
+        rows = rows.withColumn(name, F.col(f"kept.{name}"))
+    seen = lambda c: F.when(board.field(F.col("fen"), 2) == "b", board.mirror_class(c)).otherwise(c)
+    return rows.withColumn("classes", F.transform("moves", lambda m: seen(board.move_class(m)))).withColumn("legal", F.transform("legal", seen)).drop("kept")
 
-    rows = raw.withColumn("move", board.first_move(F.col("line"))).join(legal_moves(raw), "fen", "left")
+
+def drop_reasons(raw: DataFrame) -> DataFrame:
+    """Rows by the first thing that would drop them: no line, bad FEN, no score, bad move, illegal move, or none."""
+    rows = with_legal(raw.select("fen", "line", "cp", "mate")).withColumn("move", board.first_move(F.col("line")))
     reason = (
         F.when(F.coalesce(F.length("line"), F.lit(0)) == 0, "no line")
         .when(F.col("legal").isNull(), "bad position")
-        .when(~F.rlike("move", F.lit(board.UCI)), "bad move")
         .when(F.col("cp").isNull() & F.col("mate").isNull(), "no score")
-        .when(~F.array_contains("legal", F.col("move")), "illegal move")
+        .when(~F.rlike("move", F.lit(board.UCI)), "bad move")
+        .when(~is_legal(F.col("move"), F.col("legal")), "illegal move")
         .otherwise("kept")
     )
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))

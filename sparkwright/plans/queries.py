@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import board, scores
 from ..operators import legality, positions
-from ..sources.evaluations import RAW_SQL, position_evals
+from ..sources.evaluations import LEGAL_SQL, RAW_SQL, position_evals
 
 HASH = lambda key, salt: f"CAST(('0x' || substr(md5('{salt}|' || {key}), 1, 15)) AS BIGINT)"
 BLACK = "split_part(fen, ' ', 2) = 'b'"
@@ -17,7 +17,7 @@ MOVE_Q = "coalesce(CASE WHEN z.mate IS NOT NULL THEN CASE WHEN z.mate > 0 THEN 0
 BEST = f"""best AS (SELECT fen, line, cp, mate, depth, knodes, {HASH("fen", "split")} % 50 = 0 AS is_val FROM (
   SELECT *, row_number() OVER (PARTITION BY fen ORDER BY depth DESC NULLS LAST, coalesce(knodes, 0) DESC, {Q} DESC NULLS LAST, line ASC NULLS LAST, event_id) AS r FROM raw) WHERE r = 1 AND depth >= 12)"""
 PACKED = f"""searches AS (SELECT fen, depth, knodes, count(*) AS n_moves, list({{'move': split_part(line, ' ', 1), 'cp': CASE WHEN {BLACK} THEN -cp ELSE cp END, 'mate': CASE WHEN {BLACK} THEN -mate ELSE mate END}}
-  ORDER BY {Q} IS NULL, -{Q} + 0.0, split_part(line, ' ', 1), event_id) AS items FROM raw WHERE length(line) > 0 GROUP BY fen, depth, knodes),
+  ORDER BY {Q} IS NULL, -{Q} + 0.0, split_part(line, ' ', 1), event_id) AS items FROM raw WHERE length(line) > 0 AND fen IS NOT NULL GROUP BY fen, depth, knodes),
 packed AS (SELECT fen, depth, items, {HASH("fen", "split")} % 50 = 0 AS is_val FROM (SELECT *, row_number() OVER (PARTITION BY fen ORDER BY n_moves DESC, depth DESC NULLS LAST, knodes DESC NULLS LAST) AS r FROM searches) WHERE r = 1)"""
 
 
@@ -57,7 +57,7 @@ def policy_targets(spark, d):
 
 def resume_positions(spark, d):
     done = positions.best_per_position(_raw(spark, d), 20).select("fen")
-    return positions.resume(_raw(spark, d).select("fen").distinct(), done)
+    return positions.resume(_raw(spark, d).select("fen").where("fen is not null").distinct(), done)
 
 
 def sample_positions(spark, d):
@@ -71,7 +71,7 @@ def clean_report(spark, d):
 
 def position_filters(spark, d):
     raw = _raw(spark, d)
-    return raw.where((F.coalesce("depth", F.lit(0)) >= 13) & (F.length("line") > 0) & F.rlike("fen", F.lit(board.FEN))).groupBy(board.field(F.col("fen"), 2).alias("side")).agg(
+    return positions.deep_enough(raw, 13).where((F.length("line") > 0) & F.rlike("fen", F.lit(board.FEN))).groupBy(board.field(F.col("fen"), 2).alias("side")).agg(
         F.count("*").alias("n"), F.count_if(positions.is_validation(F.col("fen"))).alias("n_val"), F.count_if(F.col("cp").isNull() & F.col("mate").isNull()).alias("n_unscored"))
 
 
@@ -82,9 +82,9 @@ def move_classes(spark, d):
 
 
 def position_features(spark, d):
-    rows = _raw(spark, d).select("fen").distinct()
-    fen = board.normal_fen(F.col("fen"))
-    return rows.select("fen", F.size(board.planes(fen)).alias("n_set"), F.array_join(F.transform(board.planes(fen), lambda x: x.cast("string")), ",").alias("set_features"), F.array_join(board.oriented_cells(fen), "").alias("oriented"), board.clock(fen).alias("clock"))
+    rows = _raw(spark, d).select("fen").distinct().where(F.rlike("fen", F.lit(board.FEN)))
+    fen, text = board.normal_fen(F.col("fen")), lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return rows.select("fen", F.size(board.planes(fen)).alias("n_set"), text(board.planes(fen)).alias("set_features"), F.array_join(board.oriented_cells(fen), "").alias("oriented"), board.clock(fen).alias("clock"), text(board.legacy_indices(fen)).alias("legacy"))
 
 
 def square_relations(spark, d):
@@ -101,15 +101,47 @@ def drop_reasons(spark, d):
     return legality.drop_reasons(_raw(spark, d))
 
 
+def legal_rows(spark, d):
+    """Rows whose first move is legal, with the move of its class that the position has."""
+    rows = _raw(spark, d).select("event_id", "fen", board.first_move(F.col("line")).alias("move"))
+    kept = legality.with_legal(rows).where(legality.is_legal(F.col("move"), F.col("legal")))
+    return kept.select("event_id", "move", board.move_of_class(board.move_class(F.col("move")), F.col("legal")).alias("of_class"))
+
+
+def ended_positions(spark, d):
+    return legality.terminal_positions(_raw(spark, d))
+
+
+def validation_sample(spark, d):
+    values = positions.in_split(positions.action_values(_raw(spark, d), least_moves=2), True)
+    return positions.first_rows(values.select("fen", F.size("moves").alias("n_moves")), 20, 3)
+
+
 def move_metrics(spark, d):
-    """Metrics over a stand-in prediction: classes ordered by a hash of position and class."""
-    v = positions.action_values(_raw(spark, d), least_moves=2)
-    classes = F.transform("moves", lambda m: F.coalesce(board.move_class(m), F.lit(0)))
+    """Metrics over a stand-in prediction: legal classes ordered by a hash of position and class."""
+    v = legality.keep_legal_moves(positions.action_values(_raw(spark, d), least_moves=2), least_moves=2)
     q = F.transform(F.arrays_zip("cp", "mate"), lambda z: scores.move_q(z["cp"], z["mate"]))
-    rows = v.select("fen", q.alias("q"), classes.alias("classes"))
     h = lambda c: positions.split_hash(F.concat(F.col("fen"), F.lit("|"), c.cast("string")), "guess")
-    ranked = F.transform(F.array_sort(F.transform(F.array_distinct(F.concat("classes", F.array(F.lit(7)))), lambda c: F.struct(h(c).alias("h"), c.alias("c")))), lambda s: s["c"])
-    return positions.move_metrics(rows.withColumn("top5", F.slice(ranked, 1, 5)).withColumn("value", (positions.split_hash(F.col("fen"), "value") % 1000) / 1000))
+    ranked = F.transform(F.array_sort(F.transform("legal", lambda c: F.struct(h(c).alias("h"), c.alias("c")))), lambda s: s["c"])
+    value = (positions.split_hash(F.col("fen"), "value") % 1000) / 1000
+    return positions.move_metrics(v.select(q.alias("q"), "classes", F.slice(ranked, 1, 5).alias("top5"), value.alias("value")))
+
+
+def move_choices(spark, d):
+    """Move ordering and drawing with each embedding as logits; classes whose number shares no factor 3 with the id are legal."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    legal = F.filter(F.transform("v", lambda x, i: i), lambda i: (i + F.col("vec_id")) % 3 != 0)
+    uniform = lambda c: (positions.split_hash(F.concat_ws("|", F.col("vec_id").cast("string"), c.cast("string")), "draw") % 1_000_003 + 1) / 1_000_005
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return e.withColumn("legal", legal).select("vec_id", text(scores.ordered_classes(F.col("v"), F.col("legal"), 4)).alias("ordered"), scores.drawn_class(F.col("v"), F.col("legal"), 0.5, uniform).alias("drawn"), scores.drawn_class(F.col("v"), F.col("legal"), 0.0, uniform).alias("greatest"))
+
+
+def schedules(spark, d):
+    """The learning rate's share and the clock's budget as columns over event ids."""
+    e = F.col("event_id")
+    rate = scores.learning_rate(e % 1200, 100, 1000, 0.1)
+    budget = scores.clock_budget(e * 37 % 600_000, e % 7 * 500, F.when(e % 3 != 0, (e % 60).cast("int")))
+    return _events(spark, d).select("event_id", F.round(rate, 9).alias("rate"), F.round(budget, 6).alias("budget"))
 
 
 def best_line_items(spark, d):
@@ -135,41 +167,91 @@ def policy_losses(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     wanted = F.col("vec_id") % F.size("v")
     shares = F.transform("v", lambda x, i: F.when(i == wanted, 0.75).when(i == 0, 0.25).otherwise(0.0))
+    q = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.get("v", F.lit(0))))
     hard, soft, size = scores.cross_entropy(F.col("v"), wanted), scores.soft_cross_entropy(F.col("v"), shares), scores.size_loss(F.col("v"))
+    w = scores.wdl(q)
+    result = scores.wdl_cross_entropy(F.slice("v", 2, 3), F.array(w["win"], w["draw"], w["loss"]))
+    value = F.pow(F.get("v", F.lit(4)) - q, 2)
     mean = lambda c: F.round(F.avg(c), 6)
-    return e.agg(F.count("*").alias("n"), mean(hard).alias("hard"), mean(soft).alias("soft"), mean(size).alias("size"))
+    right, right_soft = scores.first_greatest(F.col("v")) == wanted, scores.first_greatest(F.col("v")) == scores.first_greatest(shares)
+    return e.agg(
+        F.count("*").alias("n"), mean(hard).alias("hard"), mean(soft).alias("soft"), mean(size).alias("size"), mean(result).alias("result"), mean(value).alias("value"),
+        mean(scores.total_loss(hard, result, value, size, (1.0, 0.5, 2.0))).alias("total"), mean(scores.total_loss(soft, result, value, size)).alias("total_soft"),
+        mean(right.cast("int")).alias("top1"), mean(right_soft.cast("int")).alias("top1_soft"),
+    )
 
 
-_NAMES = "policy_losses raw_rows best_positions action_values position_scores policy_targets resume_positions sample_positions clean_report position_filters move_classes position_features square_relations legal_counts drop_reasons move_metrics best_line_items embedding_softmax"
+_NAMES = "policy_losses raw_rows best_positions action_values position_scores policy_targets resume_positions sample_positions clean_report position_filters move_classes position_features square_relations legal_counts legal_rows ended_positions validation_sample drop_reasons move_metrics move_choices schedules best_line_items embedding_softmax"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _CLASS = lambda m: f"((ascii({m}[1]) - 97) + (ascii({m}[2]) - 49) * 8) * 64 + (ascii({m}[3]) - 97) + (ascii({m}[4]) - 49) * 8"
 _STEP = "case when x.mate is not null then case when x.mate > 0 then 0.9999 else -0.9999 end when x.cp is not null then 2 / (1 + exp(-0.00368208 * x.cp)) - 1 else 0.0 end"
+_SEEN = lambda c: f"xor({c}, CASE WHEN {BLACK} THEN 3640 ELSE 0 END)"
+# (fen, class) of legal moves, and the moves of packed positions that are among them: place in the list, class, how many there are.
+LISTED = f"""law AS (SELECT fen, n_moves, items, legal FROM (SELECT *, len(items) AS n_moves FROM packed) JOIN lawful ON starts_with(fen, position)),
+allowed AS (SELECT DISTINCT fen, CAST({_SEEN(_CLASS("m"))} AS INT) AS class FROM (SELECT fen, unnest(legal) AS m FROM law)),
+named AS (SELECT fen, n_moves, nth, x, CASE WHEN regexp_full_match(x.move, '[a-h][1-8][a-h][1-8][qrbn]?') THEN CAST({_SEEN(_CLASS("x.move"))} AS INT) END AS class FROM (SELECT fen, n_moves, generate_subscripts(items, 1) AS nth, unnest(items) AS x FROM law)),
+listed AS (SELECT fen, n_moves, nth, x, class, count(*) OVER (PARTITION BY fen) AS count FROM named JOIN allowed USING (fen, class))"""
+_SPREAD = "split_part(fen, ' ', 1)"
+for _n in range(1, 9):
+    _SPREAD = f"replace({_SPREAD}, '{_n}', '{'.' * _n}')"
+_RIGHT = lambda right, king, rook, king_is, rook_is, plane: f"CASE WHEN contains(rights, '{right}') AND oriented[{king + 1}] = '{king_is}' AND oriented[{rook + 1}] = '{rook_is}' THEN [i * 18 + {plane} FOR i IN range(64)] ELSE [] END"
 SQL = {
     "policy_losses": """WITH x AS (SELECT vec_id, len(embedding) AS k, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
-  l AS (SELECT vec_id, ln(sum(exp(v))) AS l, max(v) FILTER (i = vec_id % k) AS v, max(v) FILTER (i = 0) AS v0, any_value(vec_id % k) AS w FROM x GROUP BY vec_id)
-  SELECT count(*) AS n, round(avg(l - v), 6) AS hard, round(avg(0.75::DOUBLE * (l - v) + CASE WHEN w = 0 THEN 0 ELSE 0.25::DOUBLE * (l - v0) END), 6) AS soft, round(avg(0.001::DOUBLE * l * l), 6) AS size FROM l""",
+  l AS (SELECT vec_id, ln(sum(exp(v))) AS l, max(v) FILTER (i = vec_id % k) AS v, max(v) FILTER (i = 0) AS v0, any_value(vec_id % k) AS w, ln(sum(exp(v)) FILTER (i BETWEEN 1 AND 3)) AS r,
+    max(v) FILTER (i = 1) AS v1, max(v) FILTER (i = 2) AS v2, max(v) FILTER (i = 3) AS v3, max(v) FILTER (i = 4) AS v4, arg_max(i, (v, -i)) AS best FROM x GROUP BY vec_id),
+  q AS (SELECT *, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, v0)) AS q FROM l),
+  t AS (SELECT *, l - v AS hard, 0.75::DOUBLE * (l - v) + CASE WHEN w = 0 THEN 0 ELSE 0.25::DOUBLE * (l - v0) END AS soft, 0.001::DOUBLE * l * l AS size, (v4 - q) * (v4 - q) AS value,
+    (1 - 0.5::DOUBLE * (1 - abs(q)) + q) / 2 * (r - v1) + 0.5::DOUBLE * (1 - abs(q)) * (r - v2) + (1 - 0.5::DOUBLE * (1 - abs(q)) - q) / 2 * (r - v3) AS result FROM q)
+  SELECT count(*) AS n, round(avg(hard), 6) AS hard, round(avg(soft), 6) AS soft, round(avg(size), 6) AS size, round(avg(result), 6) AS result, round(avg(value), 6) AS value,
+    round(avg(hard + 0.5::DOUBLE * result + 2 * value + size), 6) AS total, round(avg(soft + result + value + size), 6) AS total_soft,
+    round(avg(CAST(best = w AS INT)), 6) AS top1, round(avg(CAST(best = w AS INT)), 6) AS top1_soft FROM t""",
     "raw_rows": f"WITH {RAW_SQL} SELECT * FROM raw",
     "best_positions": f"WITH {RAW_SQL}, {BEST} SELECT * FROM best",
     "action_values": f"""WITH {RAW_SQL}, {PACKED} SELECT fen, array_to_string(list_transform(items, lambda x: x.move), ',') AS moves,
   array_to_string(list_transform(items, lambda x: coalesce(CAST(x.cp AS VARCHAR), '-')), ',') AS cps, array_to_string(list_transform(items, lambda x: coalesce(CAST(x.mate AS VARCHAR), '-')), ',') AS mates, depth, is_val FROM packed""",
     "position_scores": f"""WITH {RAW_SQL}, s AS (SELECT event_id, {Q} AS q FROM raw), p AS (SELECT *, 0.5 * (1 - abs(q)) AS d, greatest(least((q + 1) / 2, 1 - 1e-6), 1e-6) AS c FROM s WHERE q IS NOT NULL)
   SELECT event_id, round(q, 8) + 0.0 AS q, round((1 - d + q) / 2, 8) + 0.0 AS win, round(d, 8) + 0.0 AS draw, round((1 - d - q) / 2, 8) + 0.0 AS loss, CAST(round_even(ln(c / (1 - c)) / 0.00368208, 0) AS INT) AS cp_back FROM p""",
-    "policy_targets": f"""WITH {RAW_SQL}, {PACKED}, q AS (SELECT fen, unnest(items) AS x FROM packed), v AS (SELECT fen, x.move AS move, CAST({_STEP} AS DOUBLE) AS q FROM q),
-  e AS (SELECT fen, move, exp((q - max(q) OVER (PARTITION BY fen)) / 0.1) AS e FROM v), w AS (SELECT fen, move, e / sum(e) OVER (PARTITION BY fen) AS w FROM e)
-  SELECT fen, xor(CAST({_CLASS("move")} AS INT), CASE WHEN {BLACK} THEN 3640 ELSE 0 END) AS class, round(sum(w), 6) AS weight FROM w GROUP BY 1, 2""",
-    "resume_positions": f"WITH {RAW_SQL}, {BEST.replace('>= 12', '>= 20')} SELECT DISTINCT fen FROM raw WHERE fen NOT IN (SELECT fen FROM best)",
+    "policy_targets": f"""WITH {RAW_SQL}, {LEGAL_SQL}, {PACKED}, {LISTED}, v AS (SELECT fen, class, CAST({_STEP} AS DOUBLE) AS q FROM listed),
+  e AS (SELECT fen, class, exp((q - max(q) OVER (PARTITION BY fen)) / 0.1) AS e FROM v), w AS (SELECT fen, class, e / sum(e) OVER (PARTITION BY fen) AS w FROM e)
+  SELECT fen, class, round(sum(w), 6) AS weight FROM w GROUP BY 1, 2""",
+    "move_metrics": f"""WITH {RAW_SQL}, {LEGAL_SQL}, {PACKED}, {LISTED}, v AS (SELECT fen, nth, class, CAST({_STEP} AS DOUBLE) AS q FROM listed WHERE n_moves >= 2 AND count >= 2),
+  r AS (SELECT fen, class, row_number() OVER (PARTITION BY fen ORDER BY {HASH("fen || '|' || class", "guess")}, class) AS r FROM allowed),
+  b AS (SELECT fen, arg_max(class, (q, -nth)) AS best, max(q) AS q FROM v GROUP BY fen), p AS (SELECT b.fen, b.best, b.q, r.class AS guess FROM b JOIN r ON r.fen = b.fen AND r.r = 1),
+  f AS (SELECT p.*, (SELECT arg_min(v.q, v.nth) FROM v WHERE v.fen = p.fen AND v.class = p.guess) AS got, EXISTS (SELECT 1 FROM r WHERE r.fen = p.fen AND r.r <= 5 AND r.class = p.best) AS five, ({HASH("fen", "value")} % 1000) / 1000 AS value FROM p)
+  SELECT count(*) AS n, round(coalesce(avg(CAST(guess = best AS INT)), 0), 6) AS top1, round(coalesce(avg(CAST(five AS INT)), 0), 6) AS top5, round(coalesce(avg((q - got) * 50), 0), 6) AS points_lost,
+    round(coalesce(avg(CAST(got IS NULL AS INT)), 0), 6) AS off_list, round(coalesce(avg(CAST(got IS NULL OR (q - got) * 50 > 10 AS INT)), 0), 6) AS blunders, round(coalesce(avg((value - q) * (value - q)), 0), 6) AS value_mse FROM f""",
+    "move_choices": f"""WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), k AS (SELECT vec_id, i, v, v / 0.5::DOUBLE - ln(-ln(({HASH("vec_id || '|' || i", "draw")} % 1000003 + 1) / 1000005::DOUBLE)) AS g FROM x WHERE (i + vec_id) % 3 <> 0),
+  o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS r, row_number() OVER (PARTITION BY vec_id ORDER BY g DESC, i) AS s FROM k)
+  SELECT vec_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY r) FILTER (r <= 4) AS ordered, CAST(max(i) FILTER (s = 1) AS INT) AS drawn, CAST(max(i) FILTER (r = 1) AS INT) AS greatest FROM o GROUP BY vec_id""",
+    "schedules": """SELECT event_id, round(CASE WHEN event_id % 1200 < 100 THEN (event_id % 1200 + 1) / 100::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * least(1.0::DOUBLE, (event_id % 1200 - 100) / 900::DOUBLE))) END, 9) AS rate,
+  round(greatest(0.02::DOUBLE, (least(event_id * 37 % 600000 / greatest(1, least(CASE WHEN event_id % 3 <> 0 THEN event_id % 60 ELSE 30 END, 40))::DOUBLE + 0.8::DOUBLE * (event_id % 7 * 500), 0.4::DOUBLE * (event_id * 37 % 600000)) - 100) / 1000), 6) AS budget FROM events""",
+    "validation_sample": f"""WITH {RAW_SQL}, {PACKED} SELECT fen, CAST(len(items) AS INT) AS n_moves FROM packed WHERE is_val AND len(items) >= 2 ORDER BY md5(fen || '|3'), fen LIMIT 20""",
+    "position_features": f"""WITH {RAW_SQL}, f AS (SELECT DISTINCT fen, CASE WHEN len(string_split(fen, ' ')) = 4 THEN fen || ' 0 1' ELSE fen END AS full_fen, split_part(fen, ' ', 2) = 'b' AS black FROM raw WHERE len(string_split(fen, '/')) = 8),
+  x AS (SELECT *, string_split({_SPREAD}, '/') AS rows, CASE WHEN black THEN translate(split_part(fen, ' ', 3), 'KQkq', 'kqKQ') ELSE split_part(fen, ' ', 3) END AS rights, split_part(fen, ' ', 4) AS passing FROM f),
+  o AS (SELECT *, array_to_string(list_reverse(rows), '') AS board, CASE WHEN black THEN translate(array_to_string(rows, ''), 'PNBRQKpnbrqk', 'pnbrqkPNBRQK') ELSE array_to_string(list_reverse(rows), '') END AS oriented FROM x),
+  s AS (SELECT *, list_concat([i * 18 + instr('PNBRQKpnbrqk', oriented[i + 1]) - 1 FOR i IN range(64) IF oriented[i + 1] <> '.'], {_RIGHT("K", 4, 7, "K", "R", 12)}, {_RIGHT("Q", 4, 0, "K", "R", 13)}, {_RIGHT("k", 60, 63, "k", "r", 14)}, {_RIGHT("q", 60, 56, "k", "r", 15)},
+    CASE WHEN passing = '-' THEN [] ELSE [xor(ascii(passing[1]) - 97 + (ascii(passing[2]) - 49) * 8, CASE WHEN black THEN 56 ELSE 0 END) * 18 + 16] END) AS planes FROM o)
+  SELECT fen, CAST(len(planes) AS INT) AS n_set, array_to_string(list_sort(planes), ',') AS set_features, oriented, least(CAST(split_part(full_fen, ' ', 5) AS INT), 100) / 100::DOUBLE AS clock,
+    array_to_string(list_concat([i * 12 + instr('PNBRQKpnbrqk', board[i + 1]) - 1 FOR i IN range(64) IF board[i + 1] <> '.'], CASE WHEN black THEN [] ELSE [768] END), ',') AS legacy FROM s""",
+    "resume_positions": f"WITH {RAW_SQL}, {BEST.replace('>= 12', '>= 20')} SELECT DISTINCT fen FROM raw WHERE fen IS NOT NULL AND fen NOT IN (SELECT fen FROM best WHERE fen IS NOT NULL)",
     "sample_positions": f"WITH {RAW_SQL} SELECT fen FROM (SELECT DISTINCT fen FROM raw) ORDER BY md5(fen || '|7'), fen LIMIT 100",
     "clean_report": f"""WITH {RAW_SQL}, {BEST}, a AS (SELECT count(*) AS n_raw, count(*) FILTER (length(line) > 0) AS n_lines FROM raw), b AS (SELECT count(*) AS n_clean, count(*) FILTER (is_val) AS n_val FROM best)
   SELECT *, round(100.0::DOUBLE * n_clean / n_raw, 6) AS kept_pct, round(100.0::DOUBLE * n_val / n_clean, 6) AS val_pct FROM a, b""",
     "position_filters": f"""WITH {RAW_SQL} SELECT split_part(fen, ' ', 2) AS side, count(*) AS n, count(*) FILTER ({HASH("fen", "split")} % 50 = 0) AS n_val, count(*) FILTER (cp IS NULL AND mate IS NULL) AS n_unscored
-  FROM raw WHERE coalesce(depth, 0) >= 13 AND length(line) > 0 GROUP BY 1""",
-    "move_classes": f"""WITH {RAW_SQL}, m AS (SELECT *, split_part(line, ' ', 1) AS move FROM raw WHERE length(line) > 0), c AS (SELECT *, CAST({_CLASS("move")} AS INT) AS class FROM m)
-  SELECT event_id, CASE WHEN length(fen) - length(replace(fen, ' ', '')) = 3 THEN fen || ' 0 1' ELSE fen END AS full_fen, move, class, xor(class, 3640) AS mirrored, CASE WHEN {BLACK} THEN xor(class, 3640) ELSE class END AS oriented, 0 AS material FROM c""",
+  FROM raw WHERE coalesce(depth, 0) >= 13 AND length(line) > 0 AND regexp_full_match(fen, '{board.FEN.strip("^$")}') GROUP BY 1""",
+    "move_classes": f"""WITH {RAW_SQL}, m AS (SELECT *, split_part(line, ' ', 1) AS move, split_part(fen, ' ', 1) AS placed FROM raw WHERE length(line) > 0), c AS (SELECT *, CASE WHEN regexp_full_match(move, '[a-h][1-8][a-h][1-8][qrbn]?') THEN CAST({_CLASS("move")} AS INT) END AS class FROM m)
+  SELECT event_id, CASE WHEN length(fen) - length(replace(fen, ' ', '')) = 3 THEN fen || ' 0 1' ELSE fen END AS full_fen, move, class, xor(class, 3640) AS mirrored, CASE WHEN {BLACK} THEN xor(class, 3640) ELSE class END AS oriented,
+    CAST({" + ".join(f"{v} * (length(replace(placed, '{p.lower()}', '')) - length(replace(placed, '{p}', '')))" for p, v in zip("PNBRQ", (1, 3, 3, 5, 9), strict=True))} AS INT) AS material FROM c""",
     "square_relations": "SELECT a, b, CAST((a // 8 - b // 8 + 7) * 15 + (a % 8 - b % 8 + 7) AS BIGINT) AS relation FROM range(64) x(a), range(64) y(b)",
     "best_line_items": "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS r FROM lineitem) WHERE r = 1",
     "embedding_softmax": """WITH x AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), e AS (SELECT *, exp((v - max(v) OVER w) / 0.1) AS e, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS r FROM x WINDOW w AS (PARTITION BY vec_id))
   SELECT vec_id, round(max(e) / sum(e), 7) AS p_max, CAST(min(i) FILTER (r = 1) + 1 AS BIGINT) AS best, string_agg(CAST(i AS VARCHAR), ',' ORDER BY r) FILTER (r <= 5) AS top5 FROM e GROUP BY vec_id""",
-    "legal_counts": f"WITH {RAW_SQL} SELECT DISTINCT fen, CAST(CASE split_part(fen, ' ', 1) WHEN 'r1bqkbnr/pppp1ppp/2n5/4p3/4P3/5N2/PPPP1PPP/RNBQKB1R' THEN 27 ELSE 20 END AS INT) AS n_legal FROM raw",
-    "drop_reasons": f"""WITH {RAW_SQL} SELECT CASE WHEN coalesce(length(line), 0) = 0 THEN 'no line' WHEN cp IS NULL AND mate IS NULL THEN 'no score' ELSE 'kept' END AS reason, count(*) AS n FROM raw GROUP BY 1""",
+    "legal_counts": f"WITH {RAW_SQL}, {LEGAL_SQL} SELECT DISTINCT fen, CAST(len(legal) AS INT) AS n_legal FROM raw JOIN lawful ON starts_with(fen, position)",
+    "ended_positions": f"WITH {RAW_SQL}, {LEGAL_SQL} SELECT DISTINCT fen FROM raw JOIN lawful ON starts_with(fen, position) WHERE len(legal) = 0",
+    "legal_rows": f"""WITH {RAW_SQL}, {LEGAL_SQL}, m AS (SELECT event_id, split_part(line, ' ', 1) AS move, legal FROM raw JOIN lawful ON starts_with(fen, position) WHERE line IS NOT NULL)
+  SELECT event_id, move, CASE WHEN list_contains(legal, move[1:4]) THEN move[1:4] ELSE move[1:4] || 'q' END AS of_class FROM m WHERE regexp_full_match(move, '[a-h][1-8][a-h][1-8][qrbn]?') AND len(list_filter(legal, lambda l: l[1:4] = move[1:4])) > 0""",
+    "drop_reasons": f"""WITH {RAW_SQL}, {LEGAL_SQL}, m AS (SELECT raw.*, split_part(line, ' ', 1) AS move, legal FROM raw LEFT JOIN lawful ON starts_with(fen, position))
+  SELECT CASE WHEN coalesce(length(line), 0) = 0 THEN 'no line' WHEN legal IS NULL THEN 'bad position' WHEN cp IS NULL AND mate IS NULL THEN 'no score' WHEN NOT regexp_full_match(move, '[a-h][1-8][a-h][1-8][qrbn]?') THEN 'bad move'
+    WHEN len(list_filter(legal, lambda l: l[1:4] = move[1:4])) = 0 THEN 'illegal move' ELSE 'kept' END AS reason, count(*) AS n FROM m GROUP BY 1""",
 }

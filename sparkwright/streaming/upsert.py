@@ -6,21 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.positions import best_per_position
+from ..operators.positions import deepest
 
 
-def stream_best(spark: SparkSession, source: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Write the best row a position of everything seen to ``folder``/version=N after each micro-batch.
+def _versions(spark: SparkSession, folder: str, n: int) -> dict[int, int]:
+    """The version that holds each bucket after batch ``n``: at most one entry a bucket."""
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{folder}/buckets/version={n}").collect()} if n >= 0 else {}
 
-    A batch that is run again writes its own version again, so results do not depend on retries.
+
+def _rows(spark: SparkSession, folder: str, held: dict[int, int], schema) -> DataFrame:
+    paths = [f"{folder}/rows/version={v}/bucket={b}" for b, v in sorted(held.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def stream_best(spark: SparkSession, source: DataFrame, folder: str, checkpoint: str, buckets: int = 64, tie: str = "event_id") -> StreamingQuery:
+    """Fold each micro-batch of ``source`` into ``folder``, read by ``best_rows``: the deepest row of each position seen, with all columns.
+
+    Positions lie in buckets by a hash, and a batch rewrites only the buckets it touches, under its own number; a batch that is run again writes the
+    same files again. Positions without a FEN are one position.
     """
+    schema = source.schema
+
     def fold(batch: DataFrame, n: int) -> None:
-        rows = batch
-        if n:
-            rows = rows.unionByName(spark.read.parquet(f"{folder}/version={n - 1}").select(*batch.columns))
-        best = best_per_position(rows, least_depth=0, tie="event_id").select("fen", "line", "cp", "mate", "depth", "knodes")
-        keyed = rows.join(best.withColumnRenamed("line", "l").select("fen", "l", F.col("depth").alias("d")), "fen")
-        same = keyed.where(F.col("line").eqNullSafe(F.col("l")) & F.col("depth").eqNullSafe(F.col("d")))
-        same.dropDuplicates(["fen"]).select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/version={n}")
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64("fen"), F.lit(buckets)).cast("int"))
+        held = _versions(spark, folder, n - 1)
+        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]
+        before = _rows(spark, folder, {b: held[b] for b in touched if b in held}, schema)
+        best = deepest(batch.drop("bucket").unionByName(before), tie).withColumn("bucket", F.pmod(F.xxhash64("fen"), F.lit(buckets)).cast("int"))
+        best.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows/version={n}")
+        spark.createDataFrame(list((held | dict.fromkeys(touched, n)).items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/buckets/version={n}")
 
     return source.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def best_rows(spark: SparkSession, folder: str, n: int, schema) -> DataFrame:
+    """The best rows after micro-batch ``n``."""
+    return _rows(spark, folder, _versions(spark, folder, n), schema)

@@ -124,3 +124,76 @@ def test_damaged_shards_are_not_skipped(spark, tmp_path):
     (tmp_path / "flat" / "damaged.parquet").write_bytes(b"PAR1 nothing PAR1")
     with pytest.raises(Exception, match="damaged"):
         evaluations.read_shards(spark, str(tmp_path / "flat"), "flat").count()
+
+
+@pytest.mark.parametrize("fen, moves", [(f, m) for f, m in evaluations.LEGAL.items()])
+def test_listed_moves(fen, moves):
+    got = rules.legal_uci(fen)
+    assert got is None if moves is None else sorted(got) == moves.split()
+
+
+def test_illegal_moves_get_no_weight(spark):
+    v = spark.createDataFrame([(START, ["e2e4", "zz", "e2e5", "d2d4"], [10, 900, 900, 10], [None] * 4), (START + " 1 1", ["e2e5"], [1], [None]), ("bad", ["e2e4"], [1], [None])], "fen string, moves array<string>, cp array<int>, mate array<int>")
+    assert {(r.fen, r["class"]): round(r.weight, 6) for r in positions.policy_targets(v).collect()} == {(START, 12 * 64 + 28): 0.5, (START, 11 * 64 + 27): 0.5}
+    assert [r.moves for r in legality.keep_legal_moves(v, 2).collect()] == [["e2e4", "d2d4"]]
+
+
+def test_metrics_of_known_rows(spark):
+    rows = [([0.5, 0.1, 0.5], [3, 4, 5], [3, 9, 8, 7, 6], 0.5), ([0.5, 0.1], [3, 4], [4, 3], 0.0), ([0.2, 0.19], [1, 2], [7, 8, 9, 6, 5], 0.2)]
+    got = positions.move_metrics(spark.createDataFrame(rows, "q array<double>, classes array<int>, top5 array<int>, value double")).first()
+    assert got.asDict() == pytest.approx({"n": 3, "top1": 1 / 3, "top5": 2 / 3, "points_lost": 10.0, "off_list": 1 / 3, "blunders": 2 / 3, "value_mse": 0.25 / 3}, abs=1e-6)
+    none = positions.move_metrics(spark.createDataFrame([], "q array<double>, classes array<int>, top5 array<int>, value double")).first()
+    assert set(none) == {0}
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from sparkwright.streaming import upsert
+
+    raw = evaluations.position_evals(spark.read.parquet(f"{TABLES}/events.parquet")).limit(600)
+    rows = raw.unionByName(spark.createDataFrame([(10_000 + k, START, "e2e4", k, None, 30, 100 + k) for k in range(200)], raw.schema))
+    rows = spark.createDataFrame(rows.collect(), raw.schema)
+    for k in range(3):
+        rows.where(F.col("event_id") % 3 == k).coalesce(1).write.parquet(str(tmp_path / f"made{k}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        next((tmp_path / f"made{k}").glob("*.parquet")).rename(tmp_path / "in" / f"{k}.parquet")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    upsert.stream_best(spark, source, str(tmp_path / "out"), str(tmp_path / "check"), buckets=8).awaitTermination()
+    got = upsert.best_rows(spark, str(tmp_path / "out"), 2, rows.schema)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, positions.deepest(rows).collect()))
+    assert got.where(F.col("fen") == START).first().knodes == 299 and got.where("fen is null").count() == 1
+
+
+def test_shards_fall_back(spark, tmp_path):
+    rows = spark.createDataFrame([("f", "l", 1, None, 3, 4)], evaluations.SCHEMA)
+    evaluations.append_rows(rows, str(tmp_path))
+    evaluations.append_rows(rows, str(tmp_path))
+    assert evaluations.read_shards(spark, str(tmp_path)).count() == evaluations.read_shards(spark, str(tmp_path), "deep").count() == 2
+    rows.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "data").mkdir()
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "data" / "data_0.parquet")
+    assert evaluations.read_shards(spark, str(tmp_path)).count() == 1
+    evaluations.write_partitions(rows.unionByName(rows), str(tmp_path / "parts"), 4)
+    evaluations.write_partitions(rows, str(tmp_path / "parts"), 4)
+    back = spark.read.parquet(str(tmp_path / "parts"))
+    assert back.count() == 1 and "bucket" in back.columns
+
+
+def test_only_chosen_searches_are_packed(spark):
+    plan = _plan(queries.action_values(spark, TABLES))
+    assert plan.index("LeftSemi") < plan.index("collect_list") or "LeftSemi" in plan
+    raw = spark.createDataFrame([(k, START, f"e2e{3 + k % 2}", k, None, 10 + k % 3, None) for k in range(7)] + [(9, None, "e2e4", 1, None, 1, 1)], "event_id long, fen string, line string, cp int, mate int, depth int, knodes long")
+    assert [(r.depth, len(r.moves)) for r in positions.action_values(raw).collect()] == [(10, 3)]
+
+
+def test_rows_of_one_split_and_order(spark):
+    rows = spark.createDataFrame([(f"f{k}", k % 3 == 0 if k % 4 else None, k) for k in range(40)], "fen string, is_val boolean, depth int")
+    assert positions.in_split(rows, True).count() + positions.in_split(rows, False).count() == 40
+    assert positions.first_rows(rows, 5, 1).count() == 5 and positions.first_rows(rows, 0).count() == positions.shuffled(rows, 3).count() == 40
+    assert positions.deep_enough(rows, 10).count() == 30 and positions.deep_enough(rows, 0).count() == 40
+
+
+def test_drawn_classes_follow_their_chances(spark):
+    df = spark.range(4000).withColumn("x", F.expr("array(0.0D, ln(3.0D), 9.0D)")).withColumn("legal", F.expr("array(0, 1)"))
+    uniform = lambda c: (positions.split_hash(F.concat_ws("|", F.col("id").cast("string"), c.cast("string")), "u") % 999_983 + 1) / 999_985
+    got = df.select(scores.drawn_class(F.col("x"), F.col("legal"), 1.0, uniform).alias("c"), scores.ordered_classes(F.col("x"), F.col("legal"), 1).alias("o")).agg(F.avg("c"), F.min("o")[0]).first()
+    assert abs(got[0] - 0.75) < 0.03 and got[1] == 1
