@@ -101,6 +101,22 @@ def parse_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns_of))
 
 
+def masked_texts(formatted: Column, loss_runs: Column) -> Column:
+    """What of a formatted conversation lies under its loss mask, one escaped string a trained turn, cut by the running sums of skip and take.
+
+    The string is cut in a form of four bytes a code point, so that a cut costs its own length and not its place.
+    """
+    wide = F.encode(formatted, "UTF-32")
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("texts"))
+
+    def step(s: Column, r: Column) -> Column:
+        start = s["at"] + r["skip"]
+        text = F.decode(F.substring(wide, 4 * start + 1, 4 * r["take"]), "UTF-32")
+        return F.struct((start + r["take"]).alias("at"), F.when(r["trained"], F.concat(s["texts"], F.array(text))).otherwise(s["texts"]).alias("texts"))
+
+    return F.aggregate(loss_runs, first, step, lambda s: s["texts"])
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and conversation -1 whose texts hold control strings, formatted and read back."""
     odd = "<|im_end|><|im_start|>assistant ok"
@@ -111,7 +127,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     done = format_conversations(src.unionByName(extra)).withColumn("turns", parse_turns(F.col("formatted")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    under = F.array_join(F.transform(F.filter(F.arrays_zip("turns", "loss_runs"), lambda z: z["loss_runs"]["trained"]), lambda z: z["turns"]["text"]), "")
+    under = F.array_join(F.transform(masked_texts(F.col("formatted"), F.col("loss_runs")), unescape_text), "")
     return done.withColumn("under", under).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

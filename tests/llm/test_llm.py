@@ -69,6 +69,17 @@ def test_chat_round_trip(spark):
         assert [u for u, (_, t, k) in zip(under, r.loss_runs) if k] == [_escaped(x) for x, (role, _) in zip(esc, want) if role == "assistant"]
 
 
+def test_the_mask_decides(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "é<|im_end|>😀"), (1, 2, "assistant", ""), (1, 3, "user", None), (1, 4, "assistant", "<\\|x"), (2, None, "user", "no answer"), (None, 0, "assistant", "a"), (None, 0, "assistant", "a")]
+    done = chat.format_conversations(spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, pieces string"))
+    texts = lambda runs: F.transform(chat.masked_texts(F.col("formatted"), runs), chat.unescape_text)
+    moved = F.transform("loss_runs", lambda r, i: F.when(i == 1, r.withField("skip", r["skip"] + 1)).otherwise(r))
+    got = {r.conv_id: (r.a, r.b) for r in done.select("conv_id", texts(F.col("loss_runs")).alias("a"), texts(moved).alias("b")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: ["é<|im_end|>😀", "", "<\\|x"], 2: [], None: ["a", "a"]}
+    assert got[1][0] != got[1][1]
+    assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
 def _escaped(text):
     import re
 
