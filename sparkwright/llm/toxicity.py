@@ -4,10 +4,12 @@ A token is a word (lower case) or, for a word without a score of its own, its lo
 token's log-odds between toxic and other documents have a Dirichlet prior in proportion to the token's share of
 all documents of the sample (Monroe et al., 2008); tokens with significant (z) and large log-odds keep them, all others
 have the small negative score ``BACKGROUND``. A linear-time scan finds all maximal-scoring segments
-(Ruzzo and Tompa, 1999). The best segment's score and the text's length go through an extreme-value law (Karlin and
-Altschul, 1990: lambda solves sum p exp(lambda s) = 1) whose location is calibrated by a logistic regression.
+(Ruzzo and Tompa, 1999). A segment of score s in a text of n tokens is expected E = K n exp(-lambda s) times by chance (Karlin and
+Altschul, 1990): lambda solves sum p exp(lambda s) = 1, and K is the greatest-likelihood location of the Gumbel law of the best segments of
+harmless texts of the sample, texts without a segment counting as censored. Every segment with E < 1 is significant; those of a text are taken together by
+the sum statistic (Karlin and Altschul, 1993), and a logistic regression over its -ln P and the text's length calibrates the score.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE``, by hash) and holds at most ``LEXICON`` tokens.
+The model is fitted on a bounded sample of labelled rows (``SAMPLE``, by hash); all significant tokens of it are kept, at least three of its toxic texts hold each.
 Scores read whole texts and nothing but the text.
 
 Defined results: a null or empty text has no segment; without labelled rows of both kinds every score is 0. Repeated
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import residue, salted_hash, slices, table
+from .common import discard, residue, salted_hash, slices, table, written
 from .linear import logistic
 
-SAMPLE, LEXICON, PREFIXES = 8_000, 20_000, (8, 7, 6, 5, 4)
+SAMPLE, PREFIXES = 8_000, (8, 7, 6, 5, 4)
 PRIOR_FLOOR, PRIOR_TOKENS, LEAST_Z, LEAST_ODDS, BACKGROUND = 0.5, 200.0, 3.3, 3.0, -0.3
 CACHE = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -67,6 +69,7 @@ class Model:
 
     scores: dict[str, float] = field(default_factory=dict)
     rate: float = 1.0
+    place: float = 1.0  # K
     law: tuple[float, float, float] = (0.0, 0.0, -30.0)
 
     def __post_init__(self):
@@ -82,9 +85,18 @@ class Model:
         scores = np.fromiter(map(known.__getitem__, words), float, len(words))
         return len(words), segments(scores) if len(words) and scores.max() > 0 else []
 
+    def surplus(self, n: int, segment_score: float) -> float:
+        """-ln E of a segment in a text of ``n`` tokens: significant if it is positive."""
+        return self.rate * segment_score - math.log(self.place * max(1, n))
+
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> tuple[float, float]:
-        """lambda times the best segment's score, and the log of the number of tokens."""
-        return self.rate * max((s for _, _, s in found), default=0.0), math.log(n + 1)
+        """-ln P of the significant segments together, and the log of the number of tokens."""
+        best, total = 0.0, 0.0
+        for r, x in enumerate(sorted((x for _, _, s in found if (x := self.surplus(n, s)) > 0), reverse=True), 1):
+            total += x
+            # P of r segments with surpluses of this sum; ln 2 a segment for the choice of r.
+            best = max(best, total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+        return best, math.log(n + 1)
 
     def score(self, n: int, found: list[tuple[int, int, float]]) -> float:
         """Probability that a text of ``n`` tokens with these segments is toxic."""
@@ -92,12 +104,12 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.law[0] * x + self.law[1] * n + self.law[2])))) if self.scores else 0.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on a bounded sample of labelled rows for which ``learnable`` holds."""
-    known = labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    known = labels.where(learnable & F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
     n = known.count()
-    chosen = known.where(salted_hash(F.lit("toxicity"), F.col("doc_id")) < min(1.0, SAMPLE / max(1, n)))
-    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    chosen = known.where(salted_hash(F.lit("toxicity"), F.col("id")) < min(1.0, SAMPLE / max(1, n)))
+    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
 
     def count(batches):
         seen: Counter[tuple[str, int]] = Counter()
@@ -119,9 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "tox
                     yield from flush()
         yield from flush()
 
-    counted = sample.mapInArrow(count, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = written(sample.mapInArrow(count, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "tokens")
     sums = counted.groupBy(F.when(F.col("token") == "", 0).when(F.col("token").endswith("*"), F.length("token")).otherwise(1).alias("kind"))
-    counted = counted.persist()
     totals = {r["kind"]: (r["n0"], r["n1"]) for r in sums.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()}
     n0, n1 = totals.get(0, (0, 0))
     model = Model()
@@ -133,15 +144,17 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "tox
         odds = lambda c, k: F.ln((F.col(c) + a) / (of(k) + mass - F.col(c) - a))
         delta = odds("n1", 1) - odds("n0", 0)
         z = delta / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-        best = counted.where((F.col("token") != "") & (F.col("n1") >= 3)).withColumn("delta", delta).withColumn("z", z).where((F.col("z") > LEAST_Z) & (F.col("delta") > LEAST_ODDS)).orderBy(F.desc("z"), "token").limit(LEXICON).select("token", "delta", "n0").collect()
+        best = counted.where((F.col("token") != "") & (F.col("n1") >= 3)).withColumn("delta", delta).withColumn("z", z).where((F.col("z") > LEAST_Z) & (F.col("delta") > LEAST_ODDS)).select("token", "delta", "n0").collect()
         model.scores = {r["token"]: r["delta"] for r in best}
         shares = np.array([(r["n0"] + PRIOR_FLOOR) / (totals[1][0] + 1) for r in best])
         model.rate = karlin_rate(shares, np.array([r["delta"] for r in best]), BACKGROUND)
-        evidence = sample.mapInArrow(lambda batches: _evidence(model, batches), "x double, n double, y int").collect()
-        e = np.array([(r["x"], r["n"], r["y"] > 0) for r in sorted(evidence)], float).reshape(-1, 3)
+        tops = sorted((r["n"], r["s"], r["y"] > 0) for r in sample.mapInArrow(lambda batches: _tops(model, batches), "n long, s array<double>, y int").collect())
+        clean = [(n, max(s, default=0.0)) for n, s, y in tops if not y and n]
+        model.place = max(1, sum(s > 0 for _, s in clean)) / max(1e-9, sum(n * math.exp(-model.rate * s) for n, s in clean))
+        e = np.array([(*model.evidence(n, [(0, 0, x) for x in s]), y) for n, s, y in tops], float).reshape(-1, 3)
         if len(best) and 0 < e[:, 2].sum() < len(e):
             model.law = tuple(map(float, logistic(e[:, :2], e[:, 2])))
-    counted.unpersist()
+    discard(counted)
     return model
 
 
@@ -160,25 +173,26 @@ def karlin_rate(shares: np.ndarray, scores: np.ndarray, background: float) -> fl
     return max(high, 1e-3)
 
 
-def _evidence(model: Model, batches):
+def _tops(model: Model, batches):
+    """Number of tokens, scores of all segments and label of each text of the sample."""
     for batch in batches:
         for b in slices(batch, "text"):
-            found = [model.evidence(*model.scan(t)) for t in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.float64()), b.column(1).cast(pa.int32())], ["x", "n", "y"])
+            found = [model.scan(t) for t in b.column(0).to_pylist()]
+            yield pa.record_batch([pa.array([n for n, _ in found], pa.int64()), pa.array([[x for *_, x in f] for _, f in found], pa.list_(pa.float64())), b.column(1).cast(pa.int32())], ["n", "s", "y"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, segments) of every whole text; segments are word intervals with their scores."""
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+    """(doc_id, score, segments) of every whole text; segments are word intervals with their scores and -ln E (significant if positive)."""
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("surplus", pa.float64())]))
 
     def run(batches):
         for batch in batches:
             for b in slices(batch, "text"):
                 found = [model.scan(t) for t in b.column(1).to_pylist()]
-                rows = [[{"start": s, "end": e, "score": x} for s, e, x in f] for _, f in found]
+                rows = [[{"start": s, "end": e, "score": x, "surplus": model.surplus(n, x)} for s, e, x in f] for n, f in found]
                 yield pa.record_batch([b.column(0), pa.array([model.score(*f) for f in found], pa.float64()), pa.array(rows, spans)], ["doc_id", "score", "segments"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, segments array<struct<start:int,end:int,score:double>>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, segments array<struct<start:int,end:int,score:double,surplus:double>>")
 
 
 def keep_harmless(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -200,4 +214,4 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole document."""
     docs = table(spark, sf_dir, "documents")
     found = score(docs, fit(docs, table(spark, sf_dir, "labels"), learnable(F.col("doc_id"))))
-    return found.select("doc_id", (residue(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("segments").alias("n_segments"))
+    return found.select("doc_id", (residue(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size(F.filter("segments", lambda x: x["surplus"] > 0)).alias("n_segments"))
