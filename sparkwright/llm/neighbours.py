@@ -2,14 +2,19 @@
 
 Pivots are at most ``PIVOTS`` vectors that lie apart, from a sample of ``SAMPLE`` vectors chosen by hash. A vector is represented by its ``PREFIX`` nearest
 pivots in order; each data block posts its vectors in one inverted file a pivot, with the pivot's place. A query adds up, over
-its own pivots' files, what shared pivots save of the footrule distance; the best ``SHARE`` of a block (``LEAST`` vectors at least) are
-reranked by the exact cosine in double precision. Every row is indexed; queries meet data in blocks of bounded size.
+its own pivots' files, what shared pivots save of the footrule distance; the best ``SHARE`` of a block (``LEAST`` times the answer's length at least, so
+that a small block can fill an answer) are reranked by the exact cosine in double precision. Every row is indexed; queries meet data in blocks of bounded size.
+
+Vectors are scaled by a power of two before they are squared, which changes no digit of a cosine and keeps huge and tiny ones from over- and underflow.
+Vectors of several lengths are searched apart, each among those of its length; a length that the sample lacks has no pivots and is searched exactly.
 
 Equal vectors of a block are indexed once with their smallest ids (as many as an answer can need), so a vector with very many
 copies does not crowd out others.
 
-Defined results: rows whose id or vector is null, whose vector is zero, holds a null or non-finite component, or has another
-length than most take no part; a repeated query id is answered once, and rows with the query's id are not its candidates; ties go to the smaller id; fewer
+Work grows with queries times vectors, as for any index of a fixed share: a query reads its pivots' files in every block.
+
+Defined results: rows whose id or vector is null, whose vector is zero or holds a null or non-finite component take no part;
+a repeated query id is answered once, and rows with the query's id are not its candidates; ties go to the smaller id; fewer
 candidates than ``k`` are all returned; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -22,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-PIVOTS, PREFIX, SHARE, LEAST = 256, 64, 0.25, 400
+PIVOTS, PREFIX, SHARE, LEAST = 256, 64, 0.25, 8
 SAMPLE, APART = 4096, 0.8  # pivots come from so many vectors; two pivots' cosine is less than this
-DATA_BLOCK, QUERY_BLOCK = 8192, 2048
+DATA_BLOCK, QUERY_BLOCK = 16384, 8192
 
 
 def usable(v: Column) -> Column:
@@ -34,9 +39,14 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(v, lambda c: F.coalesce(x(c) != 0, F.lit(False)))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors with a greatest component from 0.5 to 1, by powers of two."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    scaled = x / np.abs(x).max(1, keepdims=True)
-    return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def apart(sample: np.ndarray) -> np.ndarray:
@@ -66,32 +76,33 @@ def _distinct(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, li
     return order[np.sort(first)], held
 
 
-def search_block(data: pd.DataFrame, queries: pd.DataFrame, pivots: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` best found candidates of one data block for each query of one query block."""
+def search_block(data: pd.DataFrame, queries: pd.DataFrame, pivots: np.ndarray | None, k: int) -> pd.DataFrame:
+    """The ``k`` best found candidates of one data block for each query of one query block; all are reranked without pivots."""
     empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
     if data.empty or queries.empty:
         return empty
     ids, x = data["id"].to_numpy(np.int64), np.ascontiguousarray(np.stack(data["v"].to_numpy()).astype(np.float64))
     rows, held = _distinct(ids, x + 0.0, k + 1)
-    x = x[rows]
-    prefix = min(PREFIX, len(pivots))
-    order = permutations(x, pivots, prefix)
-    flat = order.ravel()
-    by = np.argsort(flat, kind="stable")
-    ends = np.cumsum(np.bincount(flat, minlength=len(pivots)))
-    saved = (prefix - by % prefix).astype(np.uint16)
-    files = [(by[a:b] // prefix, saved[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    y = np.stack(queries["v"].to_numpy()).astype(np.float64)
-    n = min(len(x), max(LEAST, int(np.ceil(SHARE * len(x)))))
+    x = scaled(x[rows])
+    y = scaled(np.stack(queries["v"].to_numpy()).astype(np.float64))
+    n = len(x) if pivots is None else min(len(x), max(LEAST * k, int(np.ceil(SHARE * len(x)))))
+    if n < len(x):
+        prefix = min(PREFIX, len(pivots))
+        flat = permutations(x, pivots, prefix).ravel()
+        by = np.argsort(flat, kind="stable")
+        ends = np.cumsum(np.bincount(flat, minlength=len(pivots)))
+        saved = (prefix - by % prefix).astype(np.uint16)
+        files = [(by[a:b] // prefix, saved[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        asked = permutations(y, pivots, prefix)
     norms = np.sqrt((x * x).sum(1))
     out = []
-    for q, v, pivot in zip(queries["id"].to_numpy(np.int64), y, permutations(y, pivots, prefix), strict=True):
+    for j, (q, v) in enumerate(zip(queries["id"].to_numpy(np.int64), y, strict=True)):
         if n < len(x):
             total = np.zeros(len(x), np.uint16)
-            for place, p in enumerate(pivot):
+            for place, p in enumerate(asked[j]):
                 at, s = files[p]
                 total[at] += np.minimum(s, np.uint16(prefix - place))
-            found = np.argsort(np.uint16(65535) - total, kind="stable")[:n]
+            found = np.argpartition(np.uint16(65535) - total, n - 1)[:n]
         else:
             found = np.arange(n)
         score = (x[found] * v).sum(1) / (norms[found] * np.sqrt((v * v).sum()))
@@ -104,29 +115,26 @@ def search_block(data: pd.DataFrame, queries: pd.DataFrame, pivots: np.ndarray,
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of all other rows for rows with ``is_query``."""
-    spark = vectors.sparkSession
     src = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")
-    )
-    sizes = sorted(((r["count"], r["n"]) for r in src.groupBy(F.size("v").alias("n")).count().collect()), reverse=True)
-    schema = "query_id long, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
-    count, length = sizes[0]
-    src = src.where(F.size("v") == length)
+    ).withColumn("size", F.size("v"))
     picked = src.groupBy(F.xxhash64("v").alias("h")).agg(F.any_value("v").alias("v")).orderBy("h").limit(SAMPLE).collect()
-    pivots = apart(_unit(np.array([r["v"] for r in picked], np.float64)))
-    asked = src.where("asked").groupBy("id").agg(F.min("v").alias("v"))
-    blocks, query_blocks = -(-count // DATA_BLOCK), -(-max(1, asked.count()) // QUERY_BLOCK)
+    samples: dict[int, list] = {}
+    for r in picked:
+        samples.setdefault(len(r["v"]), []).append(r["v"])
+    pivots = {size: apart(_unit(np.array(v, np.float64))) for size, v in samples.items()}
+    asked = src.where("asked").groupBy("id").agg(F.min("v").alias("v")).withColumn("size", F.size("v"))
+    blocks, query_blocks = -(-max(1, src.count()) // DATA_BLOCK), -(-max(1, asked.count()) // QUERY_BLOCK)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    data = src.select("id", "v", place(blocks).alias("b"), spread(query_blocks).alias("q"))
-    queries = asked.select("id", "v", spread(blocks).alias("b"), place(query_blocks).alias("q"))
+    data = src.select("id", "v", "size", place(blocks).alias("b"), spread(query_blocks).alias("q"))
+    queries = asked.select("id", "v", "size", spread(blocks).alias("b"), place(query_blocks).alias("q"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return search_block(left, right, pivots, k)
+        return search_block(left, right, pivots.get(len(right["v"].iloc[0])) if len(right) else None, k)
 
-    found = data.groupBy("b", "q").cogroup(queries.groupBy("b", "q")).applyInPandas(run, schema)
+    key = ("size", "b", "q")
+    found = data.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
