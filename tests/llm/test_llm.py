@@ -184,6 +184,7 @@ def test_licenses_of_parted_words(spark):
     import re
 
     rules = [(label, re.compile(pattern), priority) for label, _, pattern, priority, _ in licenses.rules()]
+    assert len({p for _, p in licenses.NAMES}) + len(licenses.CLAUSES) >= 240
     parts, rows, want = (" ", "\n", "  ", "-", "\r\n * ", "** __"), [], []
     for label, pattern in (*licenses.NAMES, *licenses.CLAUSES):
         for k, said in enumerate(_spelled(re._parser.parse(pattern))):
@@ -201,6 +202,37 @@ def test_licenses_of_parted_words(spark):
     assert not [k for k in licenses.KEYWORDS if " " in k]
 
 
+def _scanned(text):
+    """n_words, base places and labels of a text in plain Python, without gates."""
+    import re
+
+    words = [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    base = sorted((i, label) for phrase, label in licenses.BASE for p in [phrase.split()] for i in range(len(words)) if words[i : i + len(p)] == p)
+    line, until, least, labels = f" {' '.join(words)} ", -1, 0, []
+    if not licenses.ANY.search(line):
+        return len(words), base, []
+    found = [(line[: m.start()].count(" ") - 1, m[0].count(" ") + 1, priority, of) for of, _, rule, priority, _ in licenses.RULES for m in rule.finditer(line)]
+    for start, n, priority, of in sorted(found, key=lambda x: (x[0], -x[0] - x[1], x[2])):
+        if start + n > until and (start >= until or priority < least):
+            until, least, labels = start + n, priority, labels + [of]
+    return len(words), base, list(dict.fromkeys(labels))
+
+
+def test_licenses_of_all_documents(spark, monkeypatch):
+    import re
+
+    monkeypatch.setattr(licenses, "RULES", [(a, b, re.compile(c), d, e) for a, b, c, d, e in licenses.rules()], raising=False)
+    monkeypatch.setattr(licenses, "ANY", re.compile("(?<= )(?:" + "|".join(p for _, p in (*licenses.NAMES, *licenses.CLAUSES)) + ")(?= )"), raising=False)
+    long = "word " * 25_000 + "under the MIT\nLicense, GPLv3 " + "more\x00 " * 5_000
+    more = [(-1, long), (-2, "Licensed under the GPLv3; LGPLv2 or AGPLv3, MPLv2"), (-3, "Licensed under the GPLv3; LGPLv2 or AGPLv3, MPLv2"), (-4, None), (None, "cc by cc by, É MIT license 4.0")]
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).withColumn("r", F.lit("clash")).withColumn("gated", F.lit(1))
+    got = sorted(repr((x.doc_id, x.n_words, sorted(tuple(b) for b in x.base), x.found)) for x in licenses.scan_licenses(docs).collect())
+    want = sorted(repr((r.doc_id, *_scanned(r.text))) for r in docs.collect())
+    assert [x for x in zip(got, want, strict=True) if x[0] != x[1]] == []
+    assert any("gpl-3.0" in x and "mpl-2.0" in x and "agpl-3.0" in x and "lgpl-2.0" in x for x in got)
+    assert licenses.scan_licenses(docs.where("false")).count() == 0
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 8)).round(3)
