@@ -2,13 +2,13 @@
 
 ``pack_streams`` stores payloads as transport streams (program tables, elementary packets with
 timestamps, random-access points). ``read_streams`` reads any column of transport streams:
-it parses the program association and map tables, checks continuity counters per PID, drops
+it finds packets again after stray or missing bytes, parses the program association and map tables, checks continuity counters per PID, drops
 repeated packets, reassembles the packetised elementary stream and returns for each access unit its
 timestamps and whether a random-access point begins it.
 
 Defined results: a null or empty payload becomes one unit of padding; a null stream, or bytes without
 a sync pattern, yields no units and ``n_packets`` 0; trailing bytes of less than a packet are ignored.
-Rows are independent, so repeated rows give repeated results. Memory is bounded by one Arrow slice
+Rows are independent, so repeated rows give repeated results; extra columns are ignored, whatever their names; an empty table gives no rows. Memory is bounded by one Arrow slice
 (8 MB of text) or by one row if that is longer.
 """
 
@@ -149,17 +149,38 @@ class Stream:
     continuity_errors: int = 0
     repeated: int = 0
     bad_tables: int = 0
+    sync_losses: int = 0
     units: list[Unit] = field(default_factory=list)
 
 
-def _aligned(media: bytes) -> np.ndarray:
-    """Whole packets from the first place where the sync byte repeats at packet distance."""
-    data = np.frombuffer(media, np.uint8)
-    for start in range(min(PACKET, max(0, len(data) - PACKET + 1))):
-        n = (len(data) - start) // PACKET
-        if data[start] == SYNC and (data[start : start + n * PACKET : PACKET][:5] == SYNC).all():
-            return data[start : start + n * PACKET].reshape(n, PACKET)
-    return np.zeros((0, PACKET), np.uint8)
+def _sync(data: np.ndarray, start: int) -> int:
+    """The first place from ``start`` on where a whole packet begins and the sync byte repeats at packet distance; -1 if there is none."""
+    last = len(data) - PACKET
+    for k in np.flatnonzero(data[start : last + 1] == SYNC) + start if start <= last else ():
+        if (data[k : last + 1 : PACKET][:5] == SYNC).all():
+            return int(k)
+    return -1
+
+
+def _aligned(media: bytes) -> tuple[np.ndarray, int]:
+    """Whole packets, and how often the sync byte was lost and found again elsewhere. One damaged sync byte between good ones costs its packet alone."""
+    data, blocks, losses = np.frombuffer(media, np.uint8), [], 0
+    at = _sync(data, 0)
+    while at >= 0:
+        n = (len(data) - at) // PACKET
+        block = data[at : at + n * PACKET].reshape(n, PACKET)
+        bad = block[:, 0] != SYNC
+        lost = np.flatnonzero(bad & np.append(bad[1:], False))
+        if not len(lost) and not bad[-1]:
+            blocks.append(block)
+            break
+        k = int(lost[0]) if len(lost) else n - 1
+        # Where bytes are missing, the next packet begins inside the last good one.
+        found = _sync(data, at + (k - 1) * PACKET + 1)
+        blocks.append(block[: k - (0 <= found < at + k * PACKET)])
+        losses += found >= 0
+        at = found
+    return (np.concatenate(blocks) if blocks else np.zeros((0, PACKET), np.uint8)), losses
 
 
 def _sections(payloads: list[tuple[bool, bytes]], out: Stream):
@@ -198,7 +219,8 @@ def _clock(b: bytes) -> int:
 
 def parse(media: bytes | None) -> Stream:
     """Parse a transport stream: program tables, continuity, elementary packets, timestamps."""
-    out, p = Stream(), _aligned(media or b"")
+    out = Stream()
+    p, out.sync_losses = _aligned(media or b"")
     p = p[(p[:, 0] == SYNC) & (p[:, 1] & 0x80 == 0)] if len(p) else p
     out.n_packets = len(p)
     if not len(p):
@@ -305,7 +327,7 @@ def feature_of(s: Stream) -> str:
     kinds = ",".join(f"{k:04x}:{t:02x}" for k, (t, _) in sorted(s.streams.items()))
     return (
         f"packets={s.n_packets};programs={len(s.programs)};streams={kinds};units={len(s.units)};"
-        f"continuity_errors={s.continuity_errors};repeated={s.repeated};random_access={sum(u.random_access for u in s.units)};"
+        f"sync_losses={s.sync_losses};continuity_errors={s.continuity_errors};repeated={s.repeated};random_access={sum(u.random_access for u in s.units)};"
         f"pts={f'{times[0]}-{times[-1]}' if times else '-'};complete={sum(u.complete for u in s.units)}"
     )
 

@@ -43,6 +43,15 @@ def test_streams():
         assert [u.pts for u in s.units] == [k * mpegts.TICK for k in range(len(s.units))] and all(u.random_access for u in s.units)
     assert mpegts.parse(media[: 188 * 9] + media[188 * 10 :]).continuity_errors == 1
     assert mpegts.parse(media[: 188 * 9] + media[188 * 8 : 188 * 9] + media[188 * 9 :]).repeated == 1
+    whole = mpegts.parse(media)
+    for k in (8, 20, 50):  # stray bytes, missing bytes, one damaged sync byte
+        s = mpegts.parse(media[: 188 * k] + b"strayG." + media[188 * k :])
+        assert s.sync_losses == 1 and not s.continuity_errors and [u.data for u in s.units] == [u.data for u in whole.units]
+        s = mpegts.parse(media[: 188 * k + 60] + media[188 * k + 75 :])
+        assert s.sync_losses == 1 and s.n_packets == whole.n_packets - 1 and s.continuity_errors == 1
+        s = mpegts.parse(media[: 188 * k] + b"x" + media[188 * k + 1 :])
+        assert s.sync_losses == 0 and s.n_packets == whole.n_packets - 1
+    assert mpegts.parse(b"y" * 500 + media).n_packets == whole.n_packets
     assert mpegts.parse(None).n_packets == mpegts.parse(b"abc").n_packets == 0
 
 
