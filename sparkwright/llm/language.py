@@ -110,7 +110,7 @@ class Model:
         return langs.tolist(), score
 
 
-def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
     """Fit on a bounded sample of rows for which ``learnable`` holds and the language is not null."""
     src = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in src.groupBy(lang_col).count().collect()}
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: st
         return None
     each = max(20, SAMPLE // len(counts))
     share = F.coalesce(*[F.when(F.col(lang_col) == k, min(1.0, each / n)) for k, n in sorted(counts.items())], F.lit(0.0))
-    sample = src.where(salted_hash(F.lit("language"), F.col(text_col), F.col("doc_id")) < share).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sample = src.where(salted_hash(F.lit("language"), F.col(text_col), F.col(id_col)) < share).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def run(batches):
         for batch in batches:

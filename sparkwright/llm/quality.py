@@ -147,11 +147,12 @@ class Model:
         return [f"{w:+.3f} if {said(r)}" for r, w in sorted(self.rules, key=lambda z: -abs(z[1]))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on a bounded sample of labelled rows for which ``learnable`` holds."""
-    known = labels.where(learnable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y__"))
-    chosen = known.where(salted_hash(F.lit("quality"), F.col("doc_id")) < min(1.0, SAMPLE / max(1, known.count())))
-    rows = statistic_rows(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["y__"]).collect()
+    known = labels.where(learnable & F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id__")).agg(F.max(label).cast("int").alias("y__"))
+    chosen = known.where(salted_hash(F.lit("quality"), F.col("id__")) < min(1.0, SAMPLE / max(1, known.count())))
+    texts = docs.select(F.col(id_col).cast("long").alias("id__"), F.col(text_col).cast("string").alias("text"))
+    rows = statistic_rows(texts.join(F.broadcast(chosen), "id__"), ["y__"]).collect()
     data = np.array(sorted(map(tuple, rows)), float).reshape(-1, len(NAMES) + 1)
     x, y = data[:, 1:], (data[:, 0] > 0).astype(float)
     if len(set(y)) < 2:
