@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 stage's ``docs``. All but the last keep the columns of documents. Language: documents of undetermined language or with a
 score under 0.2 go. Toxicity: documents that score 0.5 or more go. Near duplicates: one row of each group stays, the one with the least id.
 Packing: pieces with their sequence and offset.
+
+Defined results: a null or empty text is of undetermined language and goes in the first stage; an empty table gives no rows; of repeated rows one
+stays; extra columns are kept by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.llm import jaccard, language, packing, toxicity
-from sparkwright.llm.common import table, written
+from sparkwright.llm.common import discard, table, written
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +45,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
+    docs, former = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if former is not None:
+            discard(former)  # the next stage's rows are written
+        former = docs
     return docs

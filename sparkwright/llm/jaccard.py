@@ -141,7 +141,9 @@ def shared_keys(classes: DataFrame) -> DataFrame:
     """
     by_key = Window.partitionBy("key")
     rows = classes.select("id", "n", "rare", F.posexplode("keys").alias("place", "key")).withColumn("place", F.col("place").cast("int"))
-    hot = hot_keys(written(rows.where("id % 64 = 0 and place < rare").select("key"), "every-64th"), "key")
+    some = written(rows.where("id % 64 = 0 and place < rare").select("key"), "every-64th")
+    hot = hot_keys(some, "key")
+    discard(some)
     if hot is not None:
         rows = rows.join(F.broadcast(hot), "key", "left").withColumn("rare", F.when(F.col("__parts").isNull(), F.col("rare")).otherwise(0)).drop("__parts")
     few, many = rows.where("place < rare").drop("rare"), rows.where("place >= rare").drop("rare")
@@ -547,7 +549,9 @@ def components(links: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return edges.groupBy(F.col("v").alias("id")).agg(F.min("w").alias("label"))
+    labels = written(edges.groupBy(F.col("v").alias("id")).agg(F.min("w").alias("label")), "labels")
+    discard(edges)
+    return labels
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -560,6 +564,8 @@ def linked_classes(src: DataFrame, per_cent: int, words: int = WORDS) -> tuple[D
     rows = written(document_rows(src, frequent_shingles(src, words=words), per_cent, words), "documents")
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("rare").alias("rare"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide"))
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    whole, rows = rows, written(rows.select("doc_id", "at", "hash", "class", "n"), "rows")
+    discard(whole)
     shared = written(shared_keys(classes), "shared")
     links, labels = None, None
     open_lists, tested = shared, None
@@ -573,7 +579,9 @@ def linked_classes(src: DataFrame, per_cent: int, words: int = WORDS) -> tuple[D
         found = verified(pairs, classes, src, per_cent, words)
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
-        labels = components(links)
+        former, labels = labels, components(links)
+        if former is not None:
+            discard(former)
         by_key = labelled(shared, labels)
         # A list of many members is dealt to parts here too; "size" counts them.
         parts = F.ceil(F.col("size") / HOT_ROWS)
@@ -586,8 +594,9 @@ def linked_classes(src: DataFrame, per_cent: int, words: int = WORDS) -> tuple[D
     # All pairs with a centre are tested, so lists of three are done, and centres leave the others.
     lists = written(open_lists.where("size > 3 and id != low and id != high").select("key", "id", "low"), "lists")
     links = links.union(block_links(lists, labels, classes, src, per_cent, words))
-    done = labelled(classes.select("id", "class", "rep"), components(links))
-    discard(shared, open_lists, lists, tested, links)
+    found = components(links)
+    done = written(labelled(classes.select("id", "class", "rep"), found), "done")
+    discard(shared, open_lists, lists, tested, links, labels, found, classes)
     return rows, done
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_characters
-from .common import slices, table, written
+from .common import discard, slices, table, written
 
 CAPACITY, CLOSING_ID = 2048, 0
 #: public_tokenizers.PATTERN, written for the merger's regex engine: the same matches, faster.
@@ -139,6 +139,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = pieces.withColumn("tie", F.xxhash64("doc_id", "piece", "ids_crc32")).repartitionByRange(n, "length", "tie").sortWithinPartitions("length", "tie").drop("tie")
     ranged = written(ranged.withColumn("place", F.monotonically_increasing_id()), "ranged")
+    discard(pieces)
     # Range partitions share at most one length with the next: at most (partitions + capacity) rows.
     part = F.shiftright("place", PLACE_BITS).alias("part")
     held = sorted(map(tuple, ranged.groupBy(part, "length").agg(F.count("*"), F.min("place")).collect()))

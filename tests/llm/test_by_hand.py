@@ -205,3 +205,21 @@ def test_pipeline(spark, docs, texts):
     kept = {d: kept[d] for d in kept_of_components(kept)}
     assert 0 < len(kept) < len(texts)
     check_packed(rows, kept)
+
+
+def test_pipeline_of_odd_rows(spark, docs):
+    """Null and empty texts go, repeated rows and ties leave one row, clashing columns stay, a table without rows gives none."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    clean = docs.where("doc_id % 10 = 0")
+    odd = spark.createDataFrame([(9_000_001, None), (9_000_002, ""), (9_000_003, " \n "), (None, "x y z w no id"), (9_000_004, "é word " * 30_000)], "doc_id long, text string")
+    rows = clean.unionByName(clean).unionByName(odd, allowMissingColumns=True).withColumn("class", F.lit("clash")).withColumn("at", F.lit(1))
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        rows = spark.createDataFrame(stage(spark, rows, TABLES).collect(), rows.schema)
+        seen.append(Counter(r.doc_id for r in rows.select("doc_id").collect()))
+    assert not {9_000_001, 9_000_002, 9_000_003} & set(seen[0]) and max(seen[0].values()) == 2 and max(seen[2].values()) == 1
+    assert rows.columns == [*docs.columns, "class", "at"] and set(seen[2]) <= set(seen[1])
+    step = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        step = stage(spark, step, TABLES)
+        assert step.count() == 0
