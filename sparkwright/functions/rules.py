@@ -141,14 +141,15 @@ def uci(move: tuple[int, int, str]) -> str:
 
 
 @lru_cache(maxsize=50_000)
-def _legal_uci(p: Position) -> tuple[str, ...]:
+def legal_of(p: Position) -> tuple[str, ...]:
+    """Legal moves of a position in UCI notation."""
     return tuple(map(uci, legal_moves(p)))
 
 
 def legal_uci(fen: str | None) -> tuple[str, ...] | None:
     """Legal moves of a FEN in UCI notation; None if it cannot be parsed. Positions that differ in clocks alone are worked out once."""
     p = parse_fen(fen)
-    return _legal_uci(p) if p else None
+    return legal_of(p) if p else None
 
 
 def perft(p: Position, depth: int) -> int:

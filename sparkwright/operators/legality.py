@@ -20,8 +20,10 @@ def with_legal(rows: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             fens = b.column(place).dictionary_encode()
-            legal = pa.array([rules.legal_uci(f) for f in fens.dictionary.to_pylist()] + [None], moves)
-            at = fens.indices.fill_null(len(legal) - 1)
+            seen: dict[rules.Position | None, int] = {}  # FENs that differ in clocks alone share a list
+            of_fen = pa.array([seen.setdefault(rules.parse_fen(f), len(seen)) for f in [*fens.dictionary.to_pylist(), None]], pa.int32())
+            legal = pa.array([None if p is None else rules.legal_of(p) for p in seen], moves)
+            at = of_fen.take(fens.indices.fill_null(len(of_fen) - 1))
             yield pa.RecordBatch.from_arrays([*b.columns, legal.take(at)], names=[*b.schema.names, "legal"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("legal", T.ArrayType(T.StringType()))]))
@@ -38,8 +40,9 @@ def legal_classes(legal: Column) -> Column:
 
 
 def is_legal(move: Column, legal: Column) -> Column:
-    """Whether a well-formed move's class is among the legal ones."""
-    return F.coalesce(F.array_contains(legal_classes(legal), board.move_class(move)), F.lit(False))
+    """Whether a well-formed move is among the legal ones; a promotion's piece makes no difference, as in its class."""
+    squares = F.substring(move, 1, 4)
+    return F.coalesce(F.rlike(move, F.lit(board.UCI)) & F.exists(legal, lambda m: m.startswith(squares)), F.lit(False))
 
 
 def keep_legal(rows: DataFrame, move: str = "move") -> DataFrame:
@@ -56,13 +59,12 @@ def keep_legal_moves(values: DataFrame, least_moves: int = 1) -> DataFrame:
     """Action values (fen, moves, cp, mate, ...) with bad and illegal moves dropped from the aligned lists, the class of each move for the side to move
     as ``classes`` and all legal classes as ``legal``; positions with fewer than ``least_moves`` moves left go."""
     rows = with_legal(values.where(F.size("moves") >= least_moves))
-    rows = rows.withColumn("legal", legal_classes(F.col("legal")))
-    kept = F.filter(F.arrays_zip("moves", "cp", "mate"), lambda z: F.coalesce(F.array_contains(F.col("legal"), board.move_class(z["moves"])), F.lit(False)))
+    kept = F.filter(F.arrays_zip("moves", "cp", "mate"), lambda z: is_legal(z["moves"], F.col("legal")))
     rows = rows.withColumn("kept", kept).where(F.size("kept") >= least_moves)
     for name in ("moves", "cp", "mate"):
         rows = rows.withColumn(name, F.col(f"kept.{name}"))
     seen = lambda c: F.when(board.field(F.col("fen"), 2) == "b", board.mirror_class(c)).otherwise(c)
-    return rows.withColumn("classes", F.transform("moves", lambda m: seen(board.move_class(m)))).withColumn("legal", F.transform("legal", seen)).drop("kept")
+    return rows.withColumn("classes", F.transform("moves", lambda m: seen(board.move_class(m)))).withColumn("legal", F.transform(legal_classes(F.col("legal")), seen)).drop("kept")
 
 
 def drop_reasons(raw: DataFrame) -> DataFrame:
