@@ -122,12 +122,6 @@ def test_best_fit():
     for _ in range(30):
         cap = r.choice((8, 50, 2048))
         sizes = [r.randint(1, cap) for _ in range(r.randrange(1, 400))]
-        counts = {s: sizes.count(s) for s in set(sizes)}
-        plan, n = packing.best_fit(counts, cap)
-        held = {}
-        for length, a, b, seq, off, each in plan.tolist():
-            for k in range(b - a):
-                held.setdefault(seq + k // each, []).append((off + k % each * length, length))
         bins = []  # best-fit decreasing, one at a time
         for s in sorted(sizes, reverse=True):
             fit = [x for x in range(len(bins)) if bins[x] >= s]
@@ -135,13 +129,42 @@ def test_best_fit():
                 bins[min(fit, key=bins.__getitem__)] -= s
             else:
                 bins.append(cap - s)
-        assert len(held) == n == len(bins) and sorted(x for v in held.values() for _, x in v) == sorted(sizes)
-        for v in held.values():
-            at = 0
-            for off, length in sorted(v):
-                assert off == at
-                at += length
-            assert at <= cap
+        assert packing.best_fit({s: sizes.count(s) for s in set(sizes)}, cap) == len(bins)
+
+
+def test_carried():
+    """Pairs over range boundaries against a plain stack."""
+    r = random.Random(2)
+    for _ in range(50):
+        left = {p: (r.randrange(4), r.randrange(4)) for p in range(r.randrange(1, 12))}
+        gaps, pieces, opening = packing.carried(left, 5)
+        at = lambda p, k: np.array([p], np.int64) if k is None else (np.array([p], np.int64), np.array([k], np.int64))
+        by_gap = {int(packing.pair_of(gaps, *at(p, k), False)[0]): (p, k) for p, (_, n) in left.items() for k in range(n)}
+        by_piece = {int(packing.pair_of(pieces, *at(p, k), True)[0]): (p, k) for p, (n, _) in left.items() for k in range(n)}
+        stack, want = [], set()
+        for p in sorted(left):
+            want |= {(stack.pop(), (p, k)) for k in range(left[p][1]) if stack}
+            stack += [(p, k) for k in range(left[p][0])]
+        assert {(by_piece[x], by_gap[x]) for x in by_piece if x >= 0} == want
+        assert sorted(stack) == [(p, k) for p, (n, _) in sorted(opening.items()) for k in range(n)]
+
+
+@pytest.mark.parametrize("sizes", ["mixed", "hot", "small"])
+def test_packing_over_many_ranges(spark, sizes):
+    """Ranges of about 100 rows: whole, gapless and within 1 % of serial best fit and one sequence a class, with a length that a third of all pieces have."""
+    r = random.Random(3)
+    length = {"mixed": lambda: min(2048, int(r.expovariate(1 / 500)) + 1), "hot": lambda: r.choice((700, r.randint(1, 2048), r.randint(1, 300))), "small": lambda: r.randint(1, 20)}[sizes]
+    rows = [(k % 1000 if k % 7 else None, k, 0, length(), k) for k in range(2000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), task_rows=100).collect()
+    assert sorted((r.piece, r.doc_id, r.start, r.length, r.ids_crc32) for r in got) == [(b, a, *c) for a, b, *c in rows]
+    held = {}
+    for x in got:
+        held.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for v in held.values():
+        ends = [0, *(o + n for o, n in sorted(v))]
+        assert [o for o, _ in sorted(v)] == ends[:-1] and ends[-1] <= 2048
+    n = packing.best_fit({s: sum(x[3] == s for x in rows) for s in {x[3] for x in rows}}, 2048)
+    assert len(held) <= n + max(len(packing.length_classes(2048)), n // 100)
 
 
 def test_packing_of_odd_rows(odd, none):
