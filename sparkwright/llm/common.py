@@ -2,75 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import discard, freed_shuffles, shared_dir, written  # noqa: F401 (also for the operators)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read through Spark only (the path may be in any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none and its executors are threads of the driver (tests on one machine) a temporary folder is used.
-    """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    if not folder:
-        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = getattr(spark, "_own_checkpoint_dir", None) or tempfile.mkdtemp(prefix="sparkwright-")
-        spark._own_checkpoint_dir = folder
-    return folder
-
-
-@contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Shuffle files of a query that runs inside go when it ends, not when the driver collects garbage.
-
-    Spark keeps their registration, so a stage that still misses them is run again.
-    """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder as Parquet and read it again.
-
-    The files survive the loss of any executor; a lost task is run again and commits once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkwright/{what}-{uuid.uuid4().hex}"
-    with freed_shuffles(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` returned and no later step reads."""
-    for df in tables:
-        sc = df.sparkSession.sparkContext
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/sparkwright/" in folder:
-                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 HOT_ROWS, HOT_KEYS = 256, 100_000
 
 
@@ -131,3 +75,13 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
         j = max(i + 1, int(np.searchsorted(at, at[i] + most_bytes, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of a text's UTF-8 bytes, 0 for null; the table of 256 entries follows from the polynomial."""
+    table_sql = "list_transform(range(256), lambda b: list_reduce(range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b))"
+    digits = f"string_split(hex(encode(coalesce({text}, ''))), '')"
+    values = f"list_transform({digits}, lambda h: instr('0123456789ABCDEF', h) - 1)"
+    # A byte is two digits; the lower one is shifted in first.
+    return f"""(SELECT xor(4294967295, list_reduce(list_transform(range(len(v) // 2), lambda i: v[2 * i + 1] * 16 + v[2 * i + 2]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295))
+  FROM (SELECT {values} AS v, {table_sql} AS t))"""
