@@ -1,30 +1,45 @@
-"""Legality in Arrow batches: the one place where column expressions do not reach."""
+"""Legality in Arrow batches: boards of a whole batch are columns of 64-bit numbers, so no Python loop runs over positions or moves."""
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import board, rules
+from ..functions import bitboards, board
+
+SLICE = 2048  # positions whose moves are made together
+
+
+def legal_lists(fens: pa.Array) -> pa.Array:
+    """The moves of each FEN as a list of UCI strings: null if it cannot be parsed, empty if the game is over."""
+    lists, where = [], np.full(len(fens), -1, np.int64)
+    for s in range(0, len(fens), SLICE):
+        p, at = bitboards.parse(fens[s : s + SLICE])
+        moves = bitboards.legal_moves(p)
+        where[s + at] = sum(map(len, lists)) + np.arange(len(at))
+        ends = np.searchsorted(moves.at, np.arange(len(at) + 1)).astype(np.int32)
+        lists.append(pa.ListArray.from_arrays(pa.array(ends), bitboards.uci(p, moves)))
+    made = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.string()))
+    return made.take(pa.array(where, pa.int64(), mask=where < 0))
 
 
 def with_legal(rows: DataFrame) -> DataFrame:
     """``rows`` with ``legal``, the moves of their ``fen``: null if it cannot be parsed, empty if the game is over.
 
-    Nothing is shuffled, so a position that most rows share weighs no more than others: a batch works out each of its positions once, and a worker remembers them.
+    Nothing is shuffled, so a position that most rows share weighs no more than others: a batch works out each of its positions once, clocks apart.
     """
-    place, moves = rows.columns.index("fen"), pa.list_(pa.string())
+    place = rows.columns.index("fen")
 
     def run(batches):
         for b in batches:
             fens = b.column(place).dictionary_encode()
-            seen: dict[rules.Position | None, int] = {}  # FENs that differ in clocks alone share a list
-            of_fen = pa.array([seen.setdefault(rules.parse_fen(f), len(seen)) for f in [*fens.dictionary.to_pylist(), None]], pa.int32())
-            legal = pa.array([None if p is None else rules.legal_of(p) for p in seen], moves)
-            at = of_fen.take(fens.indices.fill_null(len(of_fen) - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns, legal.take(at)], names=[*b.schema.names, "legal"])
+            bare = pc.replace_substring_regex(fens.dictionary, pattern=bitboards.CLOCKS, replacement="").dictionary_encode()
+            legal = legal_lists(bare.dictionary).take(bare.indices).take(fens.indices)
+            yield pa.RecordBatch.from_arrays([*b.columns, legal], names=[*b.schema.names, "legal"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("legal", T.ArrayType(T.StringType()))]))
 

@@ -1,4 +1,4 @@
-"""Legal moves of a position, in plain Python. Squares are 0 (a1) to 63 (h8); a board is a list of 64 characters."""
+"""Legal moves of a position, in plain Python, to compare with. Squares are 0 (a1) to 63 (h8); a board is a list of 64 characters."""
 
 from __future__ import annotations
 

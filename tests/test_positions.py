@@ -4,7 +4,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwright.functions import board, rules, scores
+from sparkwright.functions import board, scores
 from sparkwright.operators import legality, positions
 from sparkwright.plans import queries
 from sparkwright.sources import evaluations
@@ -18,24 +18,6 @@ def test_equals_sql(spark, same, name):
     same(queries.QUERIES[name](spark, TABLES), queries.SQL[name])
 
 
-@pytest.mark.parametrize(
-    ("fen", "counts"),
-    [
-        (START + " 0 1", (20, 400, 8902)),
-        ("r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1", (48, 2039, 97862)),
-        ("8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1", (14, 191, 2812)),
-        ("r3k2r/Pppp1ppp/1b3nbN/nP6/BBP1P3/q4N2/Pp1P2PP/R2Q1RK1 w kq - 0 1", (6, 264, 9467)),
-    ],
-)
-def test_perft(fen, counts):
-    p = rules.parse_fen(fen)
-    assert tuple(rules.perft(p, k) for k in (1, 2, 3)) == counts
-
-
-def test_bad_positions():
-    assert all(rules.parse_fen(f) is None for f in (None, "", "x", "8/8/8/8/8/8/8/8 w - -", START.replace("w", "x")))
-
-
 def test_scores(spark):
     rows = [(START, 0, None), (START, 500, None), (START.replace(" w ", " b "), 500, None), (START, None, 0), (START, 30, 2), (START, None, None)]
     df = spark.createDataFrame(rows, "fen string, cp int, mate int").withColumn("q", scores.eval_q(F.col("cp"), F.col("mate"), F.col("fen")))
@@ -126,12 +108,6 @@ def test_damaged_shards_are_not_skipped(spark, tmp_path):
         evaluations.read_shards(spark, str(tmp_path / "flat"), "flat").count()
 
 
-@pytest.mark.parametrize("fen, moves", [(f, m) for f, m in evaluations.LEGAL.items()])
-def test_listed_moves(fen, moves):
-    got = rules.legal_uci(fen)
-    assert got is None if moves is None else sorted(got) == moves.split()
-
-
 def test_illegal_moves_get_no_weight(spark):
     v = spark.createDataFrame([(START, ["e2e4", "zz", "e2e5", "d2d4"], [10, 900, 900, 10], [None] * 4), (START + " 1 1", ["e2e5"], [1], [None]), ("bad", ["e2e4"], [1], [None])], "fen string, moves array<string>, cp array<int>, mate array<int>")
     assert {(r.fen, r["class"]): round(r.weight, 6) for r in positions.policy_targets(v).collect()} == {(START, 12 * 64 + 28): 0.5, (START, 11 * 64 + 27): 0.5}
