@@ -154,7 +154,7 @@ def in_check(p: Positions) -> np.ndarray:
     return (attacked_by(p.other, ~(p.us | p.them), False) & p.own[KING]) != 0
 
 
-def _spread(boards: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spread(boards: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, square) of all bits."""
     some = np.flatnonzero(boards)
     at, square = np.nonzero(np.unpackbits(boards[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
@@ -187,7 +187,7 @@ def legal_moves(p: Positions) -> Moves:
 
     def add(boards: np.ndarray, back: int) -> None:
         if boards.any():
-            at, goal = _spread(boards)
+            at, goal = spread(boards)
             found.append((at, goal - back, goal))
 
     pawns = p.own[PAWN]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PIECES = "PNBRQKpnbrqk"
+WORTH = (0, 1, 3, 3, 5, 9, 0)  # of an empty square, pawn, knight, bishop, rook, queen, king
 UCI = "^[a-h][1-8][a-h][1-8][qrbn]?$"
 #: A legal syntax of the first four fields, and of all six.
 FEN = r"^([pnbrqkPNBRQK1-8]{1,8}/){7}[pnbrqkPNBRQK1-8]{1,8} [wb] (-|K?Q?k?q?) (-|[a-h][36])( \d+ \d+)?$"
@@ -59,13 +60,13 @@ def oriented_cells(fen: Column) -> Column:
     return F.when(field(fen, 2) == "b", cells(turned)).otherwise(cells(fen))
 
 
-def planes(fen: Column) -> Column:
+def planes(fen: Column, at: Column | None = None) -> Column:
     """Sparse features: sorted indices square * 18 + plane of the planes 0 to 16 that are set; plane 17 is ``clock``.
 
     0 to 5 are the mover's pieces, 6 to 11 the other's, 12 to 15 castling rights (mover's king side, queen side, then the other's; a right needs king and
-    rook at home), 16 is the en-passant square.
+    rook at home), 16 is the en-passant square. ``at`` is a column that holds ``oriented_cells``; without one they are worked out at each of nine places.
     """
-    at = oriented_cells(fen)
+    at = oriented_cells(fen) if at is None else at
     pieces = F.filter(F.transform(at, lambda c, i: F.when(c != ".", i * 18 + F.instr(F.lit(PIECES), c) - 1)), lambda x: x.isNotNull())
     black = field(fen, 2) == "b"
     rights = F.when(black, F.translate(field(fen, 3), "KQkq", "kqKQ")).otherwise(field(fen, 3))
@@ -74,12 +75,18 @@ def planes(fen: Column) -> Column:
     def right(k: int) -> Column:
         letter, king, king_is, rook, rook_is = home[k]
         held = F.contains(rights, F.lit(letter)) & (F.get(at, F.lit(king)) == king_is) & (F.get(at, F.lit(rook)) == rook_is)
-        return F.when(held, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda s: s * 18 + 12 + k)).otherwise(F.array().cast("array<int>"))
+        return F.when(held, F.array(*[F.lit(s * 18 + 12 + k) for s in range(64)])).otherwise(F.array().cast("array<int>"))
 
     passing = field(fen, 4)
     target = F.when(black, square(passing).bitwiseXOR(F.lit(56))).otherwise(square(passing))
     ep = F.when(passing != "-", F.array(target * 18 + 16)).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.concat(pieces, *[right(k) for k in range(4)], ep))
+    return F.sort_array(F.concat(pieces, *[right(k) for k in range(4)], ep))
+
+
+def with_features(rows: DataFrame, fen_col: str = "fen") -> DataFrame:
+    """``rows`` with ``oriented``, the cells as the side to move sees them, ``planes`` and ``clock``: each list is made once, in its own projection."""
+    rows = rows.withColumn("oriented", oriented_cells(F.col(fen_col)))
+    return rows.withColumn("planes", planes(F.col(fen_col), F.col("oriented"))).withColumn("clock", clock(F.col(fen_col)))
 
 
 def clock(fen: Column) -> Column:
@@ -111,7 +118,21 @@ def move_of_class(number: Column, legal: Column) -> Column:
     return F.when(number.between(0, 4095), F.get(F.filter(forms, lambda m: F.array_contains(legal, m)), F.lit(0)))
 
 
-def legacy_indices(fen: Column) -> Column:
-    """Sorted set bits of the older 769-wide vector: square * 12 + piece, and 768 if White is to move."""
-    pieces = F.filter(F.transform(cells(fen), lambda c, i: F.when(c != ".", i * 12 + F.instr(F.lit(PIECES), c) - 1)), lambda x: x.isNotNull())
+def ordered_captures(legal: Column, at: Column) -> Column:
+    """The legal moves that take something, the dearest victim first, equal ones in the order given; ``at`` is a column that holds ``cells``.
+
+    A pawn that changes its file without a piece on its goal takes a pawn in passing.
+    """
+    goal = lambda m: F.get(at, square(F.substring(m, 3, 2)))
+    start = lambda m: F.get(at, square(F.substring(m, 1, 2)))
+    worth = lambda m: F.get(F.lit(list(WORTH)), F.instr(F.lit(".pnbrqk"), F.lower(goal(m))) - 1)
+    passing = lambda m: (F.lower(start(m)) == "p") & (F.substring(m, 1, 1) != F.substring(m, 3, 1))
+    victim = lambda m: F.when(goal(m) != ".", worth(m)).when(passing(m), 1)
+    keyed = F.filter(F.transform(legal, lambda m, i: F.struct((-victim(m)).alias("minus"), i.alias("i"), m.alias("m"))), lambda s: s["minus"].isNotNull())
+    return F.transform(F.array_sort(keyed), lambda s: s["m"])
+
+
+def legacy_indices(fen: Column, at: Column | None = None) -> Column:
+    """Sorted set bits of the older 769-wide vector: square * 12 + piece, and 768 if White is to move. ``at`` is a column that holds ``cells``."""
+    pieces = F.filter(F.transform(cells(fen) if at is None else at, lambda c, i: F.when(c != ".", i * 12 + F.instr(F.lit(PIECES), c) - 1)), lambda x: x.isNotNull())
     return F.concat(pieces, F.when(field(fen, 2) == "w", F.array(F.lit(768))).otherwise(F.array().cast("array<int>")))
