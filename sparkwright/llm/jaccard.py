@@ -6,12 +6,15 @@
    shingles count as frequent affects speed alone, never the result.
 3. The classes of each shared prefix shingle are first compared with one or two centres; links join components. Lists whose
    members are all in one component are done, so groups of near copies cost a few comparisons a member.
-4. The other lists are gathered into blocks, which go through signature trees: nodes hold the OR of their members' bitmaps, size ranges and
+4. A shingle at place p of a set of n leaves an overlap of n - p at most if it is the first that two sets share. So the smaller set of a link has its first common
+   shingle early: lists without a member that early are dropped (``leads``), which takes away groups whose members differ by rare shingles of their own.
+5. The other lists are gathered into blocks, which go through signature trees: nodes hold the OR of their members' bitmaps, size ranges and
    whether all members are in one component; a dual traversal drops node pairs whose sizes do not fit, whose greatest possible overlap is too small or
    which are connected already. It says which members have a partner; these meet again with their whole sets, in the same traversal, and only links
-   that join two components of a cell are written. So no step writes more than a few rows a member, however many pairs of a group come near the
-   threshold. A block of more than ``LIST`` members is dealt into cells of chunk pairs, so that no task holds it whole.
-5. Components come from alternating large-star and small-star steps.
+   that join two components are written. A block of more than ``LIST`` members is cut into chunks. First each chunk is compared with itself, every member in
+   one place, and components are contracted. Then the members outside the block's largest component, and no others, visit the other chunks. So a group of near copies
+   travels once, whatever its size; members that come near the threshold without a link travel once a chunk.
+6. Components come from alternating large-star and small-star steps over contracted links, the last few in one task.
 
 Defined results: a null or empty text, or one without words, has an empty set and is a component of its own; a text
 of fewer words than a shingle has one shingle of all its words; components are of rows: those of one id
@@ -31,10 +34,11 @@ from .common import HOT_ROWS, dealt_join, discard, freed_shuffles, hot_keys, sli
 
 WORDS, PER_CENT = 4, 85
 FREQUENT, FREQUENT_MOST = 20, 500_000  # documents with a frequent shingle at least; frequent shingles that are told apart
-BITS, LEAF, FAN, LIST = 512, 16, 4, 4096
+BITS, LEAF, FAN, LIST = 512, 16, 4, 8192
 WIDE = 4  # bits a shingle of the second bitmap
 BROADCAST_ROWS, CENTRES = 1_000_000, 2
 ELEMENTS = 4_000_000  # shingles of a chunk
+ONE_TASK = 200_000  # links whose components one task can find (a few MB)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -132,8 +136,13 @@ def document_rows(src: DataFrame, frequent: np.ndarray, per_cent: int, words: in
     return src.mapInArrow(run, "doc_id long, at long, hash long, class binary, n long, keys array<long>, rare long, bits binary, wide binary")
 
 
-def shared_keys(classes: DataFrame) -> DataFrame:
-    """(key, id, n, place, size, low, high) of prefix shingles that ``size`` >= 2 classes have; their least and greatest id.
+def leads(n: Column, place: Column, per_cent: int) -> Column:
+    """Whether the shingle at ``place`` can be the first that a set of ``n`` shares with a linked set that is no smaller."""
+    return (100 + per_cent) * (n - place) >= 2 * per_cent * n
+
+
+def shared_keys(classes: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
+    """(key, id, n, place, size, low, high) of prefix shingles that ``size`` >= 2 classes have, one of which ``leads``; their least and greatest id.
 
     A frequent shingle may stand in any share of all classes, so its rows are counted with partial aggregation and stay where they are; there are
     at most ``FREQUENT_MOST`` such shingles, which bounds the broadcast. A shingle that no slice has twice escapes that count; so those which
@@ -147,9 +156,9 @@ def shared_keys(classes: DataFrame) -> DataFrame:
     if hot is not None:
         rows = rows.join(F.broadcast(hot), "key", "left").withColumn("rare", F.when(F.col("__parts").isNull(), F.col("rare")).otherwise(0)).drop("__parts")
     few, many = rows.where("place < rare").drop("rare"), rows.where("place >= rare").drop("rare")
-    facts = {"size": F.count("*"), "low": F.min("id"), "high": F.max("id")}
-    few = few.select("key", "id", "n", "place", *[f.over(by_key).alias(name) for name, f in facts.items()]).where("size > 1")
-    sizes = many.groupBy("key").agg(*[f.alias(name) for name, f in facts.items()]).where("size > 1")
+    facts = {"size": F.count("*"), "low": F.min("id"), "high": F.max("id"), "led": F.max(leads(F.col("n"), F.col("place"), per_cent))}
+    few = few.select("key", "id", "n", "place", *[f.over(by_key).alias(name) for name, f in facts.items()]).where("size > 1 and led")
+    sizes = many.groupBy("key").agg(*[f.alias(name) for name, f in facts.items()]).where("size > 1 and led")
     return few.unionByName(many.join(F.broadcast(sizes), "key")).select("key", "id", "n", "place", "size", "low", "high")
 
 
@@ -441,19 +450,44 @@ def blocks_of(lists: DataFrame) -> DataFrame:
     return out
 
 
-def celled(blocks: DataFrame, columns: DataFrame) -> DataFrame:
-    """Rows (block, id) with ``columns`` of id, dealt to cells: a block of c chunks makes a cell (u, v) of each pair of chunks, and a member
-    goes to the c cells of its chunk. Chunks hold about ``LIST`` members and ``ELEMENTS`` shingles, so that no task holds a block whole."""
+def chunked(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``blocks`` (block, id) with ``chunk`` and ``chunks``: chunks hold about ``LIST`` members and ``ELEMENTS`` shingles, by a hash of id. ``blocks`` is a written table."""
     chunks = F.ceil(F.greatest(F.count("*") / LIST, F.sum("n") / ELEMENTS)).cast("int")
-    heavy = hot_keys(blocks, "id")
-    large = dealt_join(blocks, columns.select("id", "n"), "id", "block", heavy).groupBy("block").agg(chunks.alias("chunks")).where("chunks > 1")
-    rows = dealt_join(dealt_join(blocks, large, "block", "id", hot_keys(blocks, "block"), "left"), columns, "id", "block", heavy).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.withColumn("u", F.least("chunk", "other")).withColumn("v", F.greatest("chunk", "other")).drop("chunks", "other")
-    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = dealt_join(blocks, sizes.select("id", "n"), "id", "block", hot_keys(blocks, "id")).groupBy("block").agg(chunks.alias("chunks")).where("chunks > 1")
+    rows = dealt_join(blocks, large, "block", "id", hot_keys(blocks, "block"), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+
+
+def celled(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """``rows`` (block, id, chunk, u, v) with ``columns`` of id, the rows of a cell (block, u, v) together and in order of size. ``rows`` is a written table."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt_join(rows, columns, "id", "block", hot_keys(rows, "id"))
     return rows.repartition(n, "block", "u", "v").sortWithinPartitions("block", "u", "v", "n", "id")
 
 
+def visits(chunks: DataFrame, known: DataFrame) -> DataFrame | None:
+    """(block, id, chunk, u, v) of the cells in which members outside their block's largest component visit other chunks; None if no block has such.
+
+    ``chunks`` is ``chunked``, written. Visitors of a block are cut into parties of ``LIST``; a chunk u meets a party in the cell (u, v), v = -1 - party. Members at
+    home are repeated once a party, visitors once a chunk.
+    """
+    split = chunks.where("chunks > 1")
+    if split.isEmpty():
+        return None
+    members = written(dealt_join(split, known.select("id", "label", "n"), "id", "block", hot_keys(split, "id")), "members")
+    counted = members.groupBy("block", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    most = counted.groupBy("block").agg(F.max(F.struct("size", (-F.col("label")).alias("minus"), "n")).alias("m"), F.sum("size").alias("all"), F.sum("n").alias("n"))
+    most = most.where("m.size < all").select("block", (-F.col("m.minus")).alias("largest"), F.ceil(F.greatest((F.col("all") - F.col("m.size")) / LIST, (F.col("n") - F.col("m.n")) / ELEMENTS)).cast("int").alias("parties"))
+    rows = written(dealt_join(members, most, "block", "id", hot_keys(members, "block")), "split")
+    discard(members)
+    at_home = rows.withColumn("v", F.explode(F.sequence(F.lit(-1), -F.col("parties"), F.lit(-1)))).select("block", "id", "chunk", F.col("chunk").alias("u"), "v")
+    party = (-1 - F.pmod(F.xxhash64("id", F.lit(1)), "parties")).cast("int")
+    away = rows.where("label != largest").withColumn("v", party).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("u != chunk")
+    out = written(at_home.union(away.select("block", "id", F.col("v").alias("chunk"), "u", "v")), "visits")
+    discard(rows)
+    return out
+
+
 def whole_cells(batches, cell: tuple[str, str, str] = ("block", "u", "v")):
     """Tables of whole cells, with the cells' rows as (places, u, v), from batches in order of cells."""
     held = None
@@ -500,42 +534,93 @@ def with_partners(cells: DataFrame, per_cent: int) -> DataFrame:
 
 
 def cell_links(cells: DataFrame, per_cent: int) -> DataFrame:
-    """Links (a, b) that join components as all links inside cells do, by whole sets (``set``): fewer than a row a member."""
+    """Links (a, b) that join components as all links inside cells do, by whole sets (``set``): of those between two components (x, y) one is enough."""
     def run(batches):
         for t, places in whole_cells(batches):
             members, ids, found = _members(t), t.column("id").to_numpy(), []
             sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
             for place in places:
                 found += forest(members, place, t.column("chunk").to_numpy(), sets, per_cent)
-            pairs = np.sort(ids[np.array(found, np.int64).reshape(-1, 2)], axis=1)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            at = np.array(found, np.int64).reshape(-1, 2)
+            pairs, of = np.sort(ids[at], axis=1), np.sort(members.label[at], axis=1)
+            yield pa.record_batch([pa.array(c) for c in (*of.T, *pairs.T)], ["x", "y", "a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long")
+    found = cells.mapInArrow(run, "x long, y long, a long, b long")
+    return found.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("one")).select("one.a", "one.b")
 
 
-def block_links(lists: DataFrame, labels: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int, words: int = WORDS) -> DataFrame:
-    """Links (a, b) that join components as all links between members of one list (key, id, low) do.
-
-    Signature trees say which members have a partner; only they are compared by whole sets, inside their cells. Neither step writes pairs that
-    may link, so a group of near copies costs a few rows a member, however few of its pairs link.
-    """
-    blocks = blocks_of(lists)
-    known = labelled(classes.select("id", "n", "bits", "wide"), labels)
-    alive = written(with_partners(celled(blocks, known), per_cent).distinct(), "alive")
+def links_of_cells(cells: DataFrame, known: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int, words: int) -> DataFrame:
+    """Links (a, b), written, that join components as all links inside the cells do. ``cells`` is a written table of (block, id, chunk, u, v)."""
+    alive = written(with_partners(celled(cells, known), per_cent).distinct(), "alive")
     wanted = written(alive.select("id").distinct(), "wanted")
     sets = sets_of_classes(wanted, classes, src, words)
-    full = known.join(sets, "id")
-    links = written(cell_links(celled(alive, full), per_cent), "links")
-    discard(blocks, alive, wanted, sets)
+    whole = written(cells.join(alive, ["block", "id"], "left_semi"), "whole")
+    links = written(cell_links(celled(whole, known.join(sets, "id")), per_cent), "links")
+    discard(alive, wanted, sets, whole)
     return links
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, label): the least id of each linked class's component, by alternating star steps."""
-    edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("w")).where("v != w").distinct(), "edges")
+def with_blocks(lists: DataFrame, labels: DataFrame, classes: DataFrame, src: DataFrame, per_cent: int, words: int = WORDS) -> DataFrame:
+    """``labels``, written, after all links between members of one list (key, id, low).
+
+    Signature trees say which members have a partner; only they are compared by whole sets. Neither step writes pairs that may link. Blocks of one chunk are done when
+    each chunk has been compared with itself; of the others the members outside the largest component visit the other chunks.
+    """
+    blocks = blocks_of(lists)
+    facts = classes.select("id", "n", "bits", "wide")
+    chunks = written(chunked(blocks, facts), "chunks")
+    home = written(chunks.select("block", "id", "chunk", F.col("chunk").alias("u"), F.col("chunk").alias("v")), "home")
+    links = links_of_cells(home, labelled(facts, labels), classes, src, per_cent, words)
+    labels = components(links, labels)
+    discard(blocks, home, links)
+    known = labelled(facts, labels)
+    if (cells := visits(chunks, known)) is not None:
+        links = links_of_cells(cells, known, classes, src, per_cent, words)
+        former, labels = labels, components(links, labels)
+        discard(cells, links, former)
+    discard(chunks)
+    return labels
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(id, label) of the components of at most ``ONE_TASK`` edges (v, w)."""
+    def run(batches):
+        none = np.zeros(0, np.int64)
+        ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        v, w = (np.concatenate([none, *(e[k] for e in ends)]) for k in (0, 1))
+        ids, at = np.unique(np.concatenate([v, w]), return_inverse=True)
+        a, b, least = at[: len(v)], at[len(v) :], np.arange(len(ids))
+        while True:
+            x, y = least[a], least[b]
+            if (x == y).all():
+                break
+            np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+            while (least[least] != least).any():
+                least = least[least]
+        other = least != np.arange(len(ids))
+        yield pa.record_batch([pa.array(ids[other]), pa.array(ids[least[other]])], ["id", "label"])
+
+    return edges.select("v", "w").coalesce(1).mapInArrow(run, "id long, label long")
+
+
+def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(id, label), written: the least id of each linked class's component, ids that are their own label apart.
+
+    ``labels`` (written) are the components that earlier links made: links are contracted to them first. Many edges go by alternating star steps, at most
+    ``ONE_TASK`` by one task.
+    """
+    ends = links.select("a", "b")
+    if labels is not None:
+        ends = written(ends, "ends")
+        of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"of_{c}"))
+        met = dealt_join(dealt_join(ends, of("a"), "a", "b", hot_keys(ends, "a"), "left"), of("b"), "b", "a", hot_keys(ends, "b"), "left")
+        former_ends, ends = ends, met.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    edges = written(ends.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("w")).where("v != w").distinct(), "edges")
+    if labels is not None:
+        discard(former_ends)
     digest = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "w").cast("decimal(38,0)"))).first())
     before = digest(edges)
-    while before[0]:
+    while before[0] > ONE_TASK:
         both = written(edges.select("v", "w").union(edges.select(F.col("w").alias("v"), F.col("v").alias("w"))), "both")
         least = both.groupBy("v").agg(F.least(F.min("w"), F.first("v")).alias("m"))
         large = dealt_join(both, least, "v", "w", hot_keys(both, "v")).where(F.col("w") > F.col("v")).select(F.col("w").alias("v"), F.col("m").alias("w"))
@@ -549,9 +634,14 @@ def components(links: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    labels = written(edges.groupBy(F.col("v").alias("id")).agg(F.min("w").alias("label")), "labels")
+    found = edges.groupBy(F.col("v").alias("id")).agg(F.min("w").alias("label")) if before[0] > ONE_TASK else _in_one_task(edges)
+    out = written(found, "labels")
     discard(edges)
-    return labels
+    if labels is not None:
+        joined = dealt_join(labels, out.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "id", hot_keys(labels, "label"), "left")
+        former, out = out, written(joined.select("id", F.coalesce("to", "label").alias("label")).unionByName(out), "labels")
+        discard(former)
+    return out
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -566,9 +656,8 @@ def linked_classes(src: DataFrame, per_cent: int, words: int = WORDS) -> tuple[D
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     whole, rows = rows, written(rows.select("doc_id", "at", "hash", "class", "n"), "rows")
     discard(whole)
-    shared = written(shared_keys(classes), "shared")
-    links, labels = None, None
-    open_lists, tested = shared, None
+    shared = written(shared_keys(classes, per_cent), "shared")
+    labels, open_lists, tested = None, shared, None
     for centre in ("low", "high")[:CENTRES]:
         met = open_lists.select(F.least("id", centre).alias("a"), F.greatest("id", centre).alias("b")).where("a != b").distinct()
         if tested is not None:
@@ -578,10 +667,8 @@ def linked_classes(src: DataFrame, per_cent: int, words: int = WORDS) -> tuple[D
         discard(met)
         found = verified(pairs, classes, src, per_cent, words)
         tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        former, labels = labels, components(links)
-        if former is not None:
-            discard(former)
+        former, labels = labels, components(found, labels)
+        discard(found, *([former] if former is not None else []))
         by_key = labelled(shared, labels)
         # A list of many members is dealt to parts here too; "size" counts them.
         parts = F.ceil(F.col("size") / HOT_ROWS)
@@ -593,10 +680,9 @@ def linked_classes(src: DataFrame, per_cent: int, words: int = WORDS) -> tuple[D
             discard(former)
     # All pairs with a centre are tested, so lists of three are done, and centres leave the others.
     lists = written(open_lists.where("size > 3 and id != low and id != high").select("key", "id", "low"), "lists")
-    links = links.union(block_links(lists, labels, classes, src, per_cent, words))
-    found = components(links)
+    found = with_blocks(lists, labels, classes, src, per_cent, words)
     done = written(labelled(classes.select("id", "class", "rep"), found), "done")
-    discard(shared, open_lists, lists, tested, links, labels, found, classes)
+    discard(shared, open_lists, lists, tested, labels, found, classes)
     return rows, done
 
 
