@@ -2,11 +2,11 @@
 
 Texts become hashed byte bigrams and trigrams (square roots of counts, unit length). At both levels one linear
 support vector machine per pair of classes votes; ties and the score use the margins. The machines are fitted on a
-bounded sample of labelled rows: ``SAMPLE`` rows in all, shared equally by the languages, chosen by a
-hash of the row. Predictions read whole texts and nothing but the text.
+bounded sample of labelled rows: at most ``SAMPLE`` rows in all, shared equally by the ``CLASSES`` commonest languages, chosen by a
+hash of the row. The driver gets one row a chosen language, the model one machine a pair of classes of a level. Predictions read whole texts and nothing but the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when no
-labelled row exists. Repeated rows repeat; extra columns are kept by the filter and ignored otherwise; an empty
+language has ``LEAST_ROWS`` labelled rows. Repeated rows repeat; extra columns are kept by the filter and ignored otherwise; an empty
 table gives no rows. Memory is bounded by a slice of 8 MB (or one longer row) and 1,000 feature vectors; the fit's by the features of its sample.
 """
 
@@ -17,13 +17,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import residue, salted_hash, slices, table, text_bytes
 from .linear import sparse_svm
 
 SIZE, ROWS, SAMPLE, WINDOW = 4096, 1000, 4000, 90
+CLASSES, LEAST_ROWS = 100, 2  # languages that are told apart, and the learnable rows that one needs
 SENT = ["lang", "whole_places", "whole_values", "part_places", "part_values"]
 UNDETERMINED, LEAST_SCORE = "und", 0.2
 #: Families of languages by ISO 639-1 code; a code that is not here is a family of its own.
@@ -111,14 +112,18 @@ class Model:
 
 
 def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
-    """Fit on a bounded sample of rows for which ``learnable`` holds and the language is not null."""
-    src = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in src.groupBy(lang_col).count().collect()}
+    """Fit on a bounded sample of rows for which ``learnable`` holds and the language is not null: the ``CLASSES`` commonest languages of at least
+    ``LEAST_ROWS`` such rows (ties by name), ``SAMPLE`` rows in all. Other languages are never predicted."""
+    src = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
+    counted = src.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "lang").limit(CLASSES)
+    counts = [(r["lang"], r["n"]) for r in counted.collect()]
     if not counts:
         return None
-    each = max(20, SAMPLE // len(counts))
-    share = F.coalesce(*[F.when(F.col(lang_col) == k, min(1.0, each / n)) for k, n in sorted(counts.items())], F.lit(0.0))
-    sample = src.where(salted_hash(F.lit("language"), F.col(text_col), F.col(id_col)) < share).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    each = SAMPLE // len(counts)
+    chosen = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts], "lang string, share double")
+    drawn = src.withColumn("drawn", salted_hash(F.lit("language"), "text", "id")).join(F.broadcast(chosen), "lang").where("drawn < share")
+    order = Window.partitionBy("lang").orderBy("drawn", "text", "id")  # of the few rows drawn, never more than a language's part
+    sample = drawn.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each).select("text", "lang")
 
     def run(batches):
         for batch in batches:

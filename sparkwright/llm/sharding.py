@@ -60,8 +60,9 @@ def assigned(docs: DataFrame, weights: Sequence[float], next_weight: float | Non
 
 
 def write_shards(docs: DataFrame, path: str, weights: Sequence[float], key_col: str = "doc_id", text_col: str = "text", files: int = 1) -> None:
-    """All columns of ``docs`` and their slot in folders shard=N of ``path``, in files of rows in order of slot; rows of a shard are dealt to ``files`` files."""
-    whole = written(docs.withColumn("__row", F.monotonically_increasing_id()), "marked")
+    """All columns of ``docs`` and their slot in folders shard=N of ``path``, in files of rows in order of slot; rows of a shard are dealt to ``files`` files.
+    Columns of ``docs`` that are named shard or slot are replaced."""
+    whole = written(docs.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id()), "marked")
     places = assigned(whole, weights, None, key_col, text_col, ["__row"]).select("__row", "shard", "slot")
     rows = whole.join(places, "__row").drop("__row").withColumn("__file", F.pmod("slot", F.lit(files)))
     rows = rows.repartition(len(weights) * files, "shard", "__file").sortWithinPartitions("shard", "__file", "slot").drop("__file")
