@@ -66,6 +66,19 @@ def write_partitions(df: DataFrame, path: str, buckets: int = 32, key: str = "fe
     df.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def write_named_shards(df: DataFrame, path: str, shards: int = 20, key: str = "fen") -> None:
+    """Files data/data_*.parquet, the first layout that ``read_shards`` looks for, replacing what is there: written beside, then renamed one by one."""
+    spark = df.sparkSession
+    df.repartition(shards, key).write.mode("overwrite").parquet(f"{path}/_new")
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(jvm.Path(f"{path}/data"), True)
+    fs.mkdirs(jvm.Path(f"{path}/data"))
+    for k, found in enumerate(sorted(f.getPath().toString() for f in fs.globStatus(jvm.Path(f"{path}/_new/part-*.parquet")))):
+        fs.rename(jvm.Path(found), jvm.Path(f"{path}/data/data_{k:05d}.parquet"))
+    fs.delete(jvm.Path(f"{path}/_new"), True)
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """More files beside those that are there; a task that runs again commits once."""
     df.write.mode("append").parquet(path)
