@@ -19,17 +19,33 @@ def _rows(spark: SparkSession, folder: str, held: dict[int, int], schema) -> Dat
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def _clean(spark: SparkSession, folder: str, held: dict[int, int], n: int) -> None:
+    """Delete what neither the map of batch ``n`` - 1, which is committed, nor a later one names: at most a few folders a bucket are ever there."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(jvm.Path(f"{folder}/rows/version=*/bucket=*")) or ():
+        path = found.getPath()
+        version, bucket = (int(x.getName().rpartition("=")[2]) for x in (path.getParent(), path))
+        if version < n and held.get(bucket) != version:
+            fs.delete(path, True)
+    for found in fs.globStatus(jvm.Path(f"{folder}/buckets/version=*")) or ():
+        if int(found.getPath().getName().rpartition("=")[2]) < n - 1:
+            fs.delete(found.getPath(), True)
+
+
 def stream_best(spark: SparkSession, source: DataFrame, folder: str, checkpoint: str, buckets: int = 64, tie: str = "event_id") -> StreamingQuery:
     """Fold each micro-batch of ``source`` into ``folder``, read by ``best_rows``: the deepest row of each position seen, with all columns.
 
     Positions lie in buckets by a hash, and a batch rewrites only the buckets it touches, under its own number; a batch that is run again writes the
-    same files again. Positions without a FEN are one position.
+    same files again. Buckets and maps that no later batch can need are deleted, so ``best_rows`` reads the last two versions only. Positions without a FEN
+    are one position.
     """
     schema = source.schema
 
     def fold(batch: DataFrame, n: int) -> None:
         batch = batch.withColumn("bucket", F.pmod(F.xxhash64("fen"), F.lit(buckets)).cast("int"))
         held = _versions(spark, folder, n - 1)
+        _clean(spark, folder, held, n)
         touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]
         before = _rows(spark, folder, {b: held[b] for b in touched if b in held}, schema)
         best = deepest(batch.drop("bucket").unionByName(before), tie).withColumn("bucket", F.pmod(F.xxhash64("fen"), F.lit(buckets)).cast("int"))

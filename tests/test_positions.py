@@ -134,6 +134,9 @@ def test_stream_equals_batch(spark, tmp_path):
         next((tmp_path / f"made{k}").glob("*.parquet")).rename(tmp_path / "in" / f"{k}.parquet")
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     upsert.stream_best(spark, source, str(tmp_path / "out"), str(tmp_path / "check"), buckets=8).awaitTermination()
+    held = {r["bucket"]: r["version"] for r in spark.read.parquet(str(tmp_path / "out/buckets/version=1")).collect()}
+    kept = {(int(p.parent.name[8:]), int(p.name[7:])) for p in (tmp_path / "out" / "rows").glob("version=*/bucket=*")}
+    assert all(v == 2 or held[b] == v for v, b in kept) and not (tmp_path / "out/buckets/version=0").exists()
     got = upsert.best_rows(spark, str(tmp_path / "out"), 2, rows.schema)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, positions.deepest(rows).collect()))
     assert got.where(F.col("fen") == START).first().knodes == 299 and got.where("fen is null").count() == 1
