@@ -11,7 +11,8 @@ Vectors of several lengths are searched apart, each among those of its length; a
 Equal vectors of a block are indexed once with their smallest ids (as many as an answer can need), so a vector with very many
 copies does not crowd out others.
 
-Work grows with queries times vectors, as for any index of a fixed share: a query reads its pivots' files in every block.
+Work grows with queries times vectors, as for any index of a fixed share: a query reads its pivots' files in every block. Vectors are sent once for each
+``QUERY_BLOCK`` queries, queries once for each ``DATA_BLOCK`` vectors. Rows are dealt to blocks by a mark and not by id, so neither an id nor a vector that most rows share fills a block.
 
 Defined results: rows whose id or vector is null, whose vector is zero or holds a null or non-finite component take no part;
 a repeated query id is answered once, and rows with the query's id are not its candidates; ties go to the smaller id; fewer
@@ -29,7 +30,7 @@ from .common import table
 
 PIVOTS, PREFIX, SHARE, LEAST = 256, 64, 0.25, 8
 SAMPLE, APART = 4096, 0.8  # pivots come from so many vectors; two pivots' cosine is less than this
-DATA_BLOCK, QUERY_BLOCK = 16384, 8192
+DATA_BLOCK, QUERY_BLOCK, SLICE = 32768, 32768, 4096  # rows of a block; of those whose distances to all pivots are held at once
 
 
 def usable(v: Column) -> Column:
@@ -62,7 +63,8 @@ def apart(sample: np.ndarray) -> np.ndarray:
 
 def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The nearest pivots of each vector, nearest first."""
-    return np.argsort(-(_unit(x) @ pivots.T), axis=1, kind="stable")[:, :prefix]
+    parts = [np.argsort(-(_unit(x[s : s + SLICE]) @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int16) for s in range(0, len(x), SLICE)]
+    return np.concatenate(parts)
 
 
 def _distinct(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -126,15 +128,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     asked = src.where("asked").groupBy("id").agg(F.min("v").alias("v")).withColumn("size", F.size("v"))
     blocks, query_blocks = -(-max(1, src.count()) // DATA_BLOCK), -(-max(1, asked.count()) // QUERY_BLOCK)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    data = src.select("id", "v", "size", place(blocks).alias("b"), spread(query_blocks).alias("q"))
-    queries = asked.select("id", "v", "size", spread(blocks).alias("b"), place(query_blocks).alias("q"))
+    place = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+    marked = src.withColumn("mark", F.monotonically_increasing_id())
+    data = marked.select("id", "v", "size", place(blocks, "id", "mark").alias("b"), spread(query_blocks).alias("q"))
+    queries = asked.select("id", "v", "size", spread(blocks).alias("b"), place(query_blocks, "id").alias("q"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return search_block(left, right, pivots.get(len(right["v"].iloc[0])) if len(right) else None, k)
 
     key = ("size", "b", "q")
     found = data.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")
+    found = found.distinct()  # copies of a row may lie in several blocks
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

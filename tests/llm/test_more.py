@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("sparkwright.llm")
-from sparkwright.llm import bpe, jaccard, language, merkle, quality, queries, search, sharding, toxicity  # noqa: E402
+from sparkwright.llm import bpe, jaccard, language, merkle, neighbours, quality, queries, search, sharding, toxicity  # noqa: E402
 
 TABLES = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -243,3 +243,24 @@ def test_empty_repeated_and_long_rows_of_scored_texts(spark):
         assert run(docs.where("false")).count() == 0
         got = [repr(tuple(r)) for r in run(few.union(few)).collect()]
         assert len(got) == 42 and len(set(got)) == 21
+
+
+def test_neighbours_where_one_id_has_a_third_of_the_rows(spark, monkeypatch):
+    """Copies of a row lie in many small blocks; results are those of all pairs."""
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(200, 6))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(300, x[0].tolist())] * 100 + [(7, x[7].tolist())] * 40
+    monkeypatch.setattr(neighbours, "DATA_BLOCK", 30)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 3)
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 50 == 0).collect()
+    unit = np.stack([*x, x[0]]) / np.sqrt((np.stack([*x, x[0]]) ** 2).sum(1))[:, None]
+    ids = np.array([*range(200), 300])
+    hits = 0
+    for q in (0, 50, 100, 150, 300):
+        s = unit @ unit[list(ids).index(q)]
+        best = [int(ids[k]) for k in np.lexsort((ids, -s.round(12))) if ids[k] != q][:5]
+        mine = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])]
+        assert len(mine) == len(set(mine)) == 5
+        hits += len(set(mine) & set(best))
+    assert hits >= 23 and [r.vec_id for r in got if r.query_id == 0 and r["rank"] == 1] == [300]
