@@ -245,13 +245,13 @@ def parse(media: bytes | None) -> Stream:
             out.continuity_errors += int(wrong.sum())
     tables = lambda k: [(bool(start[i]), p[i, at[i] :].tobytes()) for i in by_pid.get(k, ()) if keep[i] and has_data[i] and at[i] < PACKET]
     for s in _sections(tables(PAT_PID), out):
-        if s[0] == 0:
+        if s[0] == 0 and s[5] & 1:  # a table that is announced for later is not applied
             for i in range(8, len(s) - 7, 4):
                 if number := s[i] << 8 | s[i + 1]:
                     out.programs[number] = (s[i + 2] & 31) << 8 | s[i + 3]
     for number, k in out.programs.items():
         for s in _sections(tables(k), out):
-            if s[0] == 2 and s[3] << 8 | s[4] == number:
+            if s[0] == 2 and s[5] & 1 and s[3] << 8 | s[4] == number:
                 i = 12 + ((s[10] & 15) << 8 | s[11])
                 while i + 5 <= len(s) - 4:
                     out.streams[(s[i + 1] & 31) << 8 | s[i + 2]] = (s[i], number)

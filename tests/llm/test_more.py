@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("sparkwright.llm")
-from sparkwright.llm import bpe, jaccard, language, merkle, neighbours, quality, queries, search, sharding, toxicity  # noqa: E402
+from sparkwright.llm import bpe, jaccard, language, merkle, mpegts, neighbours, quality, queries, search, sharding, toxicity  # noqa: E402
 
 TABLES = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -264,3 +264,32 @@ def test_neighbours_where_one_id_has_a_third_of_the_rows(spark, monkeypatch):
         assert len(mine) == len(set(mine)) == 5
         hits += len(set(mine) & set(best))
     assert hits >= 23 and [r.vec_id for r in got if r.query_id == 0 and r["rank"] == 1] == [300]
+
+
+def test_tables_announced_for_later_are_not_applied():
+    data = mpegts.payload_of(b"some text")
+    media = mpegts.pack(data)
+    whole = mpegts.parse(media)
+    at = 188 + 5 + 5  # the program map's byte with the indicator, in the second packet
+    later = bytearray(media[188:376])
+    assert later[at - 188] & 1
+    later[at - 188] ^= 1
+    size = 3 + ((later[6] & 15) << 8 | later[7])
+    section = bytes(later[5 : 5 + size - 4])
+    later[5 + size - 4 : 5 + size] = mpegts.crc32_mpeg(section).to_bytes(4, "big")
+    later[3] = later[3] & 0xF0 | (later[3] + 1 & 15)
+    both = mpegts.parse(media[:376] + bytes(later) + media[376:])
+    assert both.streams == whole.streams and both.programs == whole.programs and not both.bad_tables
+    alone = mpegts.parse(media[:188] + bytes(later) + media[376:])
+    assert alone.programs and not alone.streams
+
+
+OP6_CONTRACT = r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+p(label, phrase) AS (VALUES ('gpl', ['gnu', 'general', 'public', 'license']), ('apache', ['apache', 'license']), ('cc-by', ['cc', 'by']), ('mit', ['mit', 'license'])),
+f AS (SELECT doc_id, label, len(phrase) AS n, unnest([i FOR i IN range(len(w)) IF w[i + 1:i + len(phrase)] = phrase]) AS at FROM w, p)
+SELECT w.doc_id, CAST(any_value(len(w.w)) AS BIGINT) AS n_words, count(f.at) AS n_base, min(f.at) AS first_word, max(f.at) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels FROM w LEFT JOIN f USING (doc_id) GROUP BY w.doc_id"""
+
+
+def test_contract_columns_of_licenses_equal_sql(spark, same):
+    got = queries.QUERIES["op6_licenses"](spark, TABLES).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    same(got, OP6_CONTRACT)
