@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwright.llm import jaccard, language, packing, toxicity
-from sparkwright.llm.common import discard, table, written
+from sparkwright.llm.common import discard, table
+from sparkwright.shared import scratch
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; what a stage has written besides is deleted when its rows are."""
     docs, former = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         if former is not None:
             discard(former)  # the next stage's rows are written
         former = docs

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import batches, legality, positions
-from ..shared import new_folder, written
+from ..shared import delete, new_folder, written
 from ..sources import evaluations
 from ..sources.evaluations import LEGAL_SQL, RAW_SQL
 from ..streaming import labels, passes
@@ -20,10 +20,8 @@ WORKERS, BUFFER, BATCH, CHUNK, SHARDS = 4, 256, 64, 500, 10
 def _kept(df: DataFrame, *folders: str) -> DataFrame:
     """``df`` as a written table, after which the folders it was read from are deleted."""
     out = written(df, "result")
-    sc = df.sparkSession.sparkContext
     for folder in folders:
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
     return out
 
 

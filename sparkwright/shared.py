@@ -25,8 +25,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/sparkwright/{what}-{uuid.uuid4().hex}"
+    """A path in the shared folder, or in the folder of the ``scratch`` around, that nothing has used."""
+    return f"{shared_dir(spark)}/sparkwright/{getattr(spark, '_own_scratch', '')}{what}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in any store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """All tables that are written inside go at the end, those that a callee has kept too; yields ``keep``, which writes a table outside, reads it again and returns it."""
+    outer = getattr(spark, "_own_scratch", "")
+    inner = f"{outer}scratch-{uuid.uuid4().hex}/"
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        spark._own_scratch = outer
+        try:
+            return written(df, what)
+        finally:
+            spark._own_scratch = inner
+
+    spark._own_scratch = inner
+    try:
+        yield keep
+    finally:
+        spark._own_scratch = outer
+        delete(spark, f"{shared_dir(spark)}/sparkwright/{inner}")
 
 
 @contextmanager
@@ -59,8 +86,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``written`` returned and no later step reads."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if "/sparkwright/" in folder:
-                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+                delete(df.sparkSession, folder)

@@ -17,6 +17,24 @@ def test_equals_sql(spark, same, name):
     same(flows.QUERIES[name](spark, TABLES), flows.SQL[name])
 
 
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    import os
+
+    from sparkwright import shared
+
+    top = f"{shared.shared_dir(spark)}/sparkwright"
+    with shared.scratch(spark) as keep:
+        with shared.scratch(spark) as inner:
+            one = inner(shared.written(spark.range(3), "a"), "b")
+            shared.written(spark.range(4), "c")
+        two = keep(one, "kept")
+        before = set(os.listdir(top))
+        assert one.count() == 3
+    gone = before - set(os.listdir(top))
+    assert two.count() == 3 and all(x.startswith("scratch-") for x in gone) and not [x for x in os.listdir(top) if x.startswith("scratch-")]
+    shared.discard(two)
+
+
 def test_numbers_of_skewed_groups_with_ties(spark):
     rows = [(None if k % 3 == 0 else f"g{k % 11}", k % 7, k) for k in range(3000)]
     for n in (1, 9):
