@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import numbered
+from ..shared import scratch
 from .common import crc32_sql, discard, residue, table, written
 
 FAN = 16
@@ -121,7 +122,8 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents; those whose id's checksum 5 divides are tampered with."""
-    return manifest(table(spark, sf_dir, "documents"), residue(F.col("doc_id"), 5) == 0)
+    with scratch(spark) as keep:
+        return keep(manifest(table(spark, sf_dir, "documents"), residue(F.col("doc_id"), 5) == 0), "manifest")
 
 
 _LEVELS = 4  # of each tree in the SQL: up to 65,536 nodes

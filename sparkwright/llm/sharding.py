@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.numbering import numbered
+from ..shared import scratch
 from .common import crc32_sql, discard, table, written
 
 SHARDS, OVERHEAD = 24, 8  # shards of the query, bytes that a row takes besides its text
@@ -72,8 +73,9 @@ def write_shards(docs: DataFrame, path: str, weights: Sequence[float], key_col:
 
 def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of equal weight, by the law that their key and the number of shards decide."""
-    rows = assigned(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
-    return rows.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    with scratch(spark) as keep:
+        rows = assigned(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
+        return keep(rows.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"), "shards")
 
 
 _DRAWN = "(CAST(('0x' || substr(md5(key || '|' || s), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE"

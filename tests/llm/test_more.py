@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("sparkwright.llm")
-from sparkwright.llm import bpe, jaccard, language, merkle, mpegts, neighbours, quality, queries, search, sharding, toxicity  # noqa: E402
+from sparkwright.llm import bpe, common, jaccard, language, merkle, mpegts, neighbours, quality, queries, search, sharding, toxicity  # noqa: E402
 
 TABLES = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -22,6 +23,16 @@ def test_equals_sql(spark, same, name):
     same(queries.QUERIES[name](spark, TABLES), queries.SQL[name])
 
 
+@pytest.mark.parametrize("name", ["op11_sharding", "op12_search", "op13_merkle"])
+def test_only_the_result_stays(spark, name):
+    """Of what a query writes its result alone is left in the shared folder."""
+    folder = f"{common.shared_dir(spark)}/sparkwright"
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    got = queries.QUERIES[name](spark, TABLES.replace("sf0.01", "sf0.001"))
+    assert got.count() > 0 and len(set(os.listdir(folder)) - before) <= 2
+
+
 @pytest.fixture(scope="module")
 def mixed(spark):
     """Nulls in every column, empty and long texts, ties, repeated rows, clashing column names and a source with most rows."""
