@@ -707,8 +707,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "at")
     firsts = rows.where("n > 0").groupBy("class").agg(F.min(order).alias("first"))
     firsts = firsts.join(done.select("class", "label"), "class").groupBy("label").agg(F.min("first").alias("first"))
-    dropped = rows.where("n > 0").select("at").join(firsts.select("first.at"), "at", "left_anti")
-    return marked.join(dropped.select(F.col("at").alias("__row")), "__row", "left_anti").drop("__row")
+    dropped = written(rows.where("n > 0").select("at").join(firsts.select("first.at"), "at", "left_anti").select(F.col("at").alias("__row")), "dropped")
+    small = dropped.count() <= BROADCAST_ROWS  # then whole texts need not be shuffled
+    return marked.join(F.broadcast(dropped) if small else dropped.hint("shuffle_hash"), "__row", "left_anti").drop("__row")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
