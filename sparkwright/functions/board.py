@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,12 +112,18 @@ def material(fen: Column) -> Column:
     return total
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, however often ``body`` names it, also for each element of a list."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def move_of_class(number: Column, legal: Column) -> Column:
     """The legal move of a class: without promotion, else to a queen, knight, rook or bishop; null if there is none."""
     square = lambda n: F.concat(F.char(97 + n % 8), F.char(49 + F.floor(n / 8)))
-    plain = F.concat(square(F.floor(number / 64)), square(number % 64))
-    forms = F.array(*[F.concat(plain, F.lit(p)) for p in ("", "q", "n", "r", "b")])
-    return F.when(number.between(0, 4095), F.get(F.filter(forms, lambda m: F.array_contains(legal, m)), F.lit(0)))
+    plain = lambda n: F.concat(square(F.floor(n / 64)), square(n % 64))
+    ranked = lambda m: F.struct(F.instr(F.lit("qnrb"), F.substring(m, 5, 1)).alias("rank"), m.alias("move"))
+    found = lambda p: F.array_min(F.transform(F.filter(legal, lambda m: F.startswith(m, p)), ranked))["move"]
+    return once(number, lambda n: F.when(n.between(0, 4095), once(plain(n), found)))
 
 
 def ordered_captures(legal: Column, at: Column) -> Column:
