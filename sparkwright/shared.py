@@ -74,12 +74,13 @@ def freed_shuffles(spark: SparkSession):
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder as Parquet and read it again.
 
-    The files survive the loss of any executor; a lost task is run again and commits once.
+    The files survive the loss of any executor; a lost task is run again and commits once. They are packed more tightly than Spark's default does, since they are
+    written and read a few times and several may be there at once.
     """
     spark = df.sparkSession
     path = new_folder(spark, what)
     with freed_shuffles(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
