@@ -5,7 +5,7 @@ negative rank, so the model merges exactly as ranks do; normalisation is the ide
 one by one, ids are decoded by the inverse mapping.
 
 Defined results: a null or empty text has no ids. Rows are independent; repeated rows repeat, extra columns are
-ignored, an empty table gives no rows. Whole texts are processed; memory is bounded by a slice of 8 MB of text
+ignored, an empty table gives no rows. Whole texts are processed; memory is bounded by a slice of 4 MB of text
 (or one longer row) and by caches of ``CACHE`` entries a worker.
 """
 

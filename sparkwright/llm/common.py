@@ -66,7 +66,7 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
     """Parts of a batch whose texts hold about ``most_bytes`` bytes (one row at least), so that
     working arrays stay small however long the texts are."""
     at = text_bytes(batch.column(batch.schema.get_field_index(column)))[1]

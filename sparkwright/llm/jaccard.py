@@ -108,7 +108,7 @@ def frequent_shingles(src: DataFrame, least: int = FREQUENT, most: int = FREQUEN
     """Hashes of shingles that stand in ``least`` documents or more, the ``most`` commonest of them, sorted."""
     def run(batches):
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 8 << 20):
                 sets = [shingles(t, words) for t in b.column(1).to_pylist() if t]
                 value, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 yield pa.record_batch([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])

@@ -7,7 +7,7 @@ hash of the row. The driver gets one row a chosen language, the model one machin
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when no
 language has ``LEAST_ROWS`` labelled rows. Repeated rows repeat; extra columns are kept by the filter and ignored otherwise; an empty
-table gives no rows. Memory is bounded by a slice of 8 MB (or one longer row) and 250 feature vectors; the fit's by the features of its sample.
+table gives no rows. Memory is bounded by a slice of 4 MB (or one longer row) and 250 feature vectors; the fit's by the features of its sample.
 """
 
 from __future__ import annotations

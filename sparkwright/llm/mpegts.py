@@ -9,7 +9,7 @@ timestamps and whether a random-access point begins it.
 Defined results: a null or empty payload becomes one unit of padding; a null stream, or bytes without
 a sync pattern, yields no units and ``n_packets`` 0; trailing bytes of less than a packet are ignored.
 Rows are independent, so repeated rows give repeated results; extra columns are ignored, whatever their names; an empty table gives no rows. Memory is bounded by one Arrow slice
-(8 MB of text) or by one row if that is longer.
+(4 MB of text) or by one row if that is longer.
 """
 
 from __future__ import annotations

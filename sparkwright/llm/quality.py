@@ -8,7 +8,7 @@ Statistics come from whole texts and nothing but the text. The sample holds ``SA
 
 Defined results: a null or empty text has all statistics 0 and is scored like any other; without labelled rows of
 both kinds every score is the share of label 1 (0.5 if there is none). Repeated rows repeat; extra columns are ignored;
-an empty table gives no rows. Memory is bounded by a slice of 8 MB of text (or one longer row).
+an empty table gives no rows. Memory is bounded by a slice of 4 MB of text (or one longer row).
 """
 
 from __future__ import annotations
